@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, multiset_hash, secrets
+from tilewright.llm import byte_bpe, multiset_hash, parity_join, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_ownership": op2_secret_ownership,
     "op3_multiset_fingerprint": op3_multiset_fingerprint,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_parity_join": op7_parity_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
