@@ -8,13 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, multiset_hash, parity_join, secrets
+from tilewright.llm import byte_bpe, impact_topk, mixing, multiset_hash, parity_join, secrets, url_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_url_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -28,15 +42,27 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = impact_topk.integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return impact_topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_char_lm": op1_url_char_lm,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_multiset_fingerprint": op3_multiset_fingerprint,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_impact_topk": op5_impact_topk,
     "op7_parity_join": op7_parity_join,
+    "op8_weighted_mix": op8_weighted_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
