@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, impact_topk, mixing, multiset_hash, parity_join, secrets, url_lm
+from tilewright.llm import byte_bpe, impact_topk, mixing, multiset_hash, parity_join, pu_quality, secrets, token_frames, url_lm, warc_audit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pu_quality.score(docs, pu_quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -55,14 +60,29 @@ def op8_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: Records of the replica that are damaged on purpose, for the audit to find.
+DAMAGED = "page_id % 97 = 13"
+
+
+def op10_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_audit.archive_and_audit(_table(spark, sf_dir, "pages"), F.expr(DAMAGED)).select("page_id", "n_bytes", "record_sha256", "status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_char_lm": op1_url_char_lm,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_multiset_fingerprint": op3_multiset_fingerprint,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_impact_topk": op5_impact_topk,
+    "op6_pu_quality": op6_pu_quality,
     "op7_parity_join": op7_parity_join,
     "op8_weighted_mix": op8_weighted_mix,
+    "op9_token_frames": op9_token_frames,
+    "op10_warc_merkle": op10_warc_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {}
