@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.plans import selection
+from tilewright.plans import pixels, runs, selection
 
-QUERIES = {**selection.QUERIES}
-ORACLES = {**selection.ORACLES}
+QUERIES = {**selection.QUERIES, **pixels.QUERIES, **runs.QUERIES}
+ORACLES = {**selection.ORACLES, **pixels.ORACLES, **runs.ORACLES}
