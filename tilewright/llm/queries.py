@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import byte_bpe, impact_topk, mixing, multiset_hash, parity_join, pu_quality, secrets, token_frames, url_lm, warc_audit
+from tilewright.llm.oracles import ORACLE_SQL  # noqa: F401  the driver reads it here
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weighted_mix": op8_weighted_mix,
     "op9_token_frames": op9_token_frames,
     "op10_warc_merkle": op10_warc_merkle,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file

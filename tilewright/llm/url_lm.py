@@ -92,7 +92,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id") ->
     rows = pages.select(F.col(id_col).alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.withColumns({"host": host, "path": path})
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
-    out = F.pmod(F.crc32(F.coalesce("url", F.lit("")).cast("binary")), F.lit(5)) == 0
+    out = F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
     rows = rows.withColumns({"rule": rule, "said": said, "lm": F.coalesce(after_scheme(F.col("url")), F.col("url"), F.lit("")), "row_id": F.monotonically_increasing_id()})
     rows = keep(rows.withColumn("side", F.when(F.col("said").isNull() | out, F.lit(None)).when(F.col("said") == "allow", 1).otherwise(0).cast("int")).withColumn("apart", out & F.col("said").isNotNull()), "urls")
     sums = _grams(rows, ["row_id"]).join(gram_scores(rows), "g").groupBy("row_id").agg(F.sum("ratio").alias("total"))
