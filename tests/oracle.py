@@ -19,4 +19,5 @@ def assert_same(df, duck, sql):
     assert sorted(df.columns) == sorted(rel.columns)
     a, b = rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(rel.columns, rel.fetchall())
     assert len(a) == len(b)
-    assert a == b
+    different = [(x, y) for x, y in zip(a, b) if x != y]
+    assert not different, different[:3]
