@@ -12,11 +12,12 @@ hashes, and the whole set by one bit a cell, its parity. Two properties carry th
 
 The number of classes is fixed for a band of sizes, so that both documents have the same classes; a document is
 keyed in its own band, and in the band below if a partner could be there. The number of classes leaves a document
-more than d + 1 that aren't empty but with a chance below 1e-11, that of a hash collision.
+d + 1 or more that aren't empty but with the chance of an eight-sigma event (1e-15), as small as that of a hash collision.
 
 Copies and hot keys: documents of one set are linked to the least of them at once. A key's documents first form a
 star around the least, not all pairs; after the links found are contracted, only keys that still hold several
-components go on: pairs across components whose Hamming distance allows a link, compared in blocks. So groups
+components go on. Their rows meet in cells of at most two blocks, with their sketches; a cell gives out only the pairs across
+components whose Hamming distance allows a link, and where these are many, first the closest of each row. So groups
 of near copies cost rows in proportion to their size, and no link between components is lost.
 
 Every candidate is verified on the exact sets, made again from the two whole texts. A star's center travels once for each
@@ -29,6 +30,9 @@ one by one; an empty table gives an empty result; other columns of the input are
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -41,8 +45,8 @@ from tilewright.llm.shingles import U, mix, shingle_sets
 
 #: Similarity in hundredths, and words of a shingle.
 SIMILARITY, WORDS = 80, 5
-#: Sizes below this share a band with 2**20 classes; above, a band's sizes at most double.
-SMALL = 48
+#: Sizes below this share a band with 2**20 classes; above, a band's sizes grow by half.
+SMALL = 32
 #: Members of a star that are verified with one copy of the center's text; rows of a block of a hot key.
 STAR_BLOCK, KEY_BLOCK = 500, 512
 #: Candidate documents up to which their pairs are broadcast to the texts (24 bytes a pair); beyond, both sides shuffle.
@@ -52,12 +56,39 @@ PROFILE = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, keys a
 
 
 def band_of(size: int) -> int:
-    """0 for sizes under SMALL, then k for [SMALL * 2**(k-1), SMALL * 2**k)."""
-    return 0 if size < SMALL else (size // SMALL).bit_length()
+    """0 for sizes under SMALL, then k for [SMALL * 1.5**(k-1), SMALL * 1.5**k)."""
+    band = 0
+    while size >= band_top(band):
+        band += 1
+    return band
+
 
+@cache
+def band_top(band: int) -> int:
+    """The size at which a band ends."""
+    top = SMALL
+    for _ in range(band):
+        top = -(-3 * top // 2)
+    return top
 
+
+@cache
 def classes_of(band: int) -> int:
-    return 1 << 20 if band == 0 else int((SMALL << band) / 2.5)
+    """The least number of classes, so that classes are large and select well, that leaves documents of the band's least, middle
+    and largest size at least their keys' number of classes that aren't empty, with eight standard deviations to spare."""
+    if band == 0:
+        return 1 << 20
+    low, high = band_top(band - 1), band_top(band) - 1
+    r = max(4, high // 4)
+    while True:
+        for size in (low, (low + high) // 2, high):
+            empty = math.exp(-size / r)
+            spread = math.sqrt(r * empty * max(0.0, 1 - (1 + size / r) * empty))
+            if r * (1 - empty) - most_apart(size, size * 100 // SIMILARITY) < 8 * spread:
+                break
+        else:
+            return r
+        r += 1
 
 
 def most_apart(a: int, b: int) -> int:
@@ -77,7 +108,7 @@ def keys_of(s: np.ndarray) -> np.ndarray:
     for band in (own, own - 1):
         if band < 0:
             break
-        low, high = (1, SMALL) if band == 0 else (SMALL << (band - 1), SMALL << band)
+        high = band_top(band)
         if band == own:
             d = most_apart(n, n * 100 // SIMILARITY)
         else:
@@ -185,26 +216,130 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.select("center", "salt", "member", "doc_id", "text").mapInArrow(_verify, "a long, b long")
 
 
-def _across(t: pa.Table) -> pa.Table:
-    """Pairs of a block pair whose components differ and whose sizes and sketches allow a link."""
-    side, node, root, n = (t.column(c).to_numpy() for c in ("side", "node", "root", "n_shingles"))
-    raw = [np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()]
-    one = bool(t.column("ci")[0].as_py() == t.column("cj")[0].as_py())
-    cells = min(map(len, raw))
-    folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, cells), 0) for x in raw])  # cells modulo a smaller power of two
-    left = np.arange(len(node)) if one else np.flatnonzero(side == 0)
-    right = np.arange(len(node)) if one else np.flatnonzero(side == 1)
-    a, b = [], []
-    for i in left.tolist():
-        j = right[right > i] if one else right
-        j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= SIMILARITY * np.maximum(n[j], n[i]))]
-        if len(j):
-            far = np.bitwise_count(folded[j] ^ folded[i]).sum(1, dtype=np.int64)
-            j = j[far <= (100 - SIMILARITY) * (n[j] + n[i]) // (100 + SIMILARITY)]
-            a += [node[i]] * len(j)
-            b += node[j].tolist()
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+def _folded(sketch: int, cells: int, to: int) -> int:
+    """The sketch with its cells modulo a smaller power of two."""
+    while cells > to:
+        cells //= 2
+        sketch = (sketch ^ (sketch >> cells)) & ((1 << cells) - 1)
+    return sketch
+
+
+def _could_link(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Whether sizes and sketches allow a link."""
+    if 100 * min(n, m) < SIMILARITY * max(n, m):
+        return False
+    to = 8 * min(len(a), len(b))
+    x, y = (_folded(int.from_bytes(s, "little"), 8 * len(s), to) for s in (a, b))
+    return (x ^ y).bit_count() <= most_apart(n, m)
+
+
+def _sieve(batches):
+    for b in batches:
+        keep_ = [_could_link(*row) for row in zip(*(b.column(c).to_pylist() for c in ("n_a", "s_a", "n_b", "s_b")))]
+        yield b.select(["a", "b"]).filter(pa.array(keep_, pa.bool_()))
+
+
+def sieved(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs that their sizes and sketches allow to link."""
+    side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return both.mapInArrow(_sieve, "a long, b long")
+
+
+#: A cell of rows that holds more possible pairs than this times its rows first tries only the closest of each row.
+MANY = 4
+
+
+def _cell_pairs(node, root, side, n, sketch, one: bool, every: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a cell across components that could link; and whether there are more than were given out."""
+    m = len(node)
+    if m <= 8:
+        found = [(node[i], node[j]) for i in range(m) for j in range(i + 1, m) if root[i] != root[j] and (one or side[i] != side[j]) and _could_link(n[i], sketch[i], n[j], sketch[j])]
+        a, b = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
+        return a, b, False
+    cells = 8 * min(map(len, sketch))
+    bits = np.stack([np.frombuffer(_folded(int.from_bytes(s, "little"), 8 * len(s), cells).to_bytes(cells // 8, "little"), np.uint8) for s in sketch])
+    d, r, z, w = np.array(node, np.int64), np.array(root, np.int64), np.array(n, np.int64), np.array(side, np.int8)
+    rows, partners, closest, total = [], [], [], 0
+    for i in range(m - 1):
+        j = np.arange(i + 1, m, dtype=np.int32)
+        ok = (r[j] != r[i]) & (100 * np.minimum(z[j], z[i]) >= SIMILARITY * np.maximum(z[j], z[i]))
+        j = j[ok if one else ok & (w[j] != w[i])]
+        if not len(j):
+            continue
+        far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+        near = far <= (100 - SIMILARITY) * (z[j] + z[i]) // (100 + SIMILARITY)
+        if near.any():
+            closest.append((i, int(j[np.argmin(far)])))
+            total += int(near.sum())
+            if every or total <= MANY * m:
+                rows.append(i)
+                partners.append(j[near])
+    if every or total <= MANY * m:
+        i = np.repeat(np.array(rows, np.int32), [len(x) for x in partners])
+        j = np.concatenate(partners) if partners else i
+        return d[i], d[j], False
+    i, j = np.array(closest).T
+    return d[i], d[j], True
+
+
+def _cells(every: bool):
+    """Rows (key, ci, cj, node, root, side, n_shingles, sketch) come sorted by cell; a cell has at most two blocks of a key."""
+    names = ("key", "ci", "cj", "node", "root", "side", "n_shingles", "sketch")
+
+    def run(batches):
+        held, cell = [[] for _ in names[3:]], None
+
+        def close():
+            if cell is None or len(held[0]) < 2:
+                return []
+            a, b, more = _cell_pairs(*held, one=cell[1] == cell[2], every=every)
+            return [(cell[0], np.minimum(a, b), np.maximum(a, b), more)] if len(a) else []
+
+        for batch in batches:
+            out: list = []
+            key, ci, cj = (batch.column(c).to_numpy() for c in names[:3])
+            rest = [batch.column(c).to_pylist() for c in names[3:]]
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if i == j:
+                    continue
+                at = (int(key[i]), int(ci[i]), int(cj[i]))
+                if at != cell:
+                    out += close()
+                    held, cell = [[] for _ in names[3:]], at
+                    if sum(len(x[1]) for x in out[-1:]) > 10_000 or len(out) > 10_000:
+                        yield _pair_rows(out)
+                        out = []
+                for h, x in zip(held, rest):
+                    h += x[i:j]
+            yield _pair_rows(out)
+        yield _pair_rows(close())
+
+    return run
+
+
+def _pair_rows(out: list) -> pa.RecordBatch:
+    n = [len(x[1]) for x in out]
+    join = lambda k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)
+    columns = [pa.array(np.repeat(np.array([x[0] for x in out], np.int64), n)), pa.array(join(1)), pa.array(join(2)), pa.array(np.repeat(np.array([x[3] for x in out], bool), n))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "more"])
+
+
+def _block_pairs(left: DataFrame, known: DataFrame, every: bool) -> DataFrame:
+    """key, a, b, more: possible pairs across components within each key. The key's rows are cut into blocks; each pair of blocks is a
+    cell, so no task holds more than two blocks of a key."""
+    sketches = known.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
+    sized = left.join(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_BLOCK).cast("int").alias("blocks")), "key")
+    placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", "node", "root", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    dealt = cells.join(sketches, "node").repartition(pieces(left.sparkSession), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "node")
+    return dealt.select("key", "ci", "cj", "node", "root", "side", "n_shingles", "sketch").mapInArrow(_cells(every), "key long, a long, b long, more boolean").where("a <> b")
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -231,45 +366,36 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     edges = edges.join(edges.groupBy("key").agg(F.min("center").alias("first")), "key").where("center <> first").select(F.col("first").alias("a"), F.col("center").alias("b"))
     pairs = stars.where("not edge and center <> doc_id").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct().unionByName(edges)
     pairs = to_rep(to_rep(pairs, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = keep(pairs, "tried")
+    tried = keep(sieved(pairs, known), "tried")
     roots = components(verified(tried, docs))
 
-    # Keys that still hold several components.
-    for turn in range(3):
-        left = stars.select("key", F.col("doc_id").alias("node")).distinct()
-        left = to_rep(left, "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        left = keep(left.join(several, "key"), "left")
-        if left.isEmpty():
+    # Keys that still hold several components; of keys with the same documents, one.
+    keys, every = None, False
+    while True:
+        left = stars.select("key", F.col("doc_id").alias("node"))
+        if keys is not None:
+            left = left.join(keys, "key", "left_semi")
+        left = to_rep(left, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).distinct()
+        mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+        several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *mark).where("low < high")
+        several = several.groupBy("m0", "m1", "n").agg(F.min("key").alias("key")).select("key")
+        found = keep(_block_pairs(left.join(several, "key"), known, every), "possible")
+        new = keep(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        keys = found.where("more").select("key").distinct()
+        some = not new.isEmpty()
+        if some:
+            before, roots = roots, components(_edges(roots).unionByName(verified(new, docs)))
+            tried = tried.unionByName(new)
+        if every or keys.isEmpty():
             break
-        if turn < 2:  # another center of each key, the least root's first node under another order: cheap and settles large groups
-            order = F.xxhash64("node", F.lit(turn))
-            center = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "root")).alias("c")).select("key", "c.node", "c.root").toDF("key", "center", "center_root")
-            more = left.join(center, "key").where("root <> center_root").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-        else:
-            more = _block_pairs(left, known)
-        more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(verified(more, docs)))
+        every = not some or roots.count() == before.count()  # the closest pairs bring nothing more: try all
 
     # Components of all nodes, named by their least doc_id; a node without links is its own.
     everyone = profile.select("doc_id", "n_shingles")
-    whole = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(equal))
+    whole = components(_edges(roots).unionByName(equal))
     return everyone.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _block_pairs(left: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidate pairs across components within each key: the key's rows are cut into blocks, and each pair of blocks is a group."""
-    sketches = known.select(F.col("doc_id").alias("node"), "n_shingles", "sketch").groupBy("node").agg(F.max(F.struct("n_shingles", "sketch")).alias("s")).select("node", "s.*")
-    sized = left.join(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_BLOCK).cast("int").alias("blocks")), "key")
-    placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", "node", "root", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    return cells.join(sketches, "node").groupBy("key", "ci", "cj").applyInArrow(_across, "a long, b long").where("a <> b").distinct()
-
-
 def drop_similar(docs: DataFrame) -> DataFrame:
     """The documents, less all but the one with the least doc_id of each component; all columns stay. Of rows that repeat a doc_id
     one stays, the least by text; documents without words, and rows with a null doc_id, stay."""

@@ -18,7 +18,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 U = np.uint64
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _LONG_WORD = 1024
 _POWERS = np.cumprod(np.concatenate([[U(1)], np.full(_LONG_WORD, U(0xD1B54A32D192ED03))]), dtype=np.uint64)
 
@@ -32,7 +32,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def _word_hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words of texts that lie one after the other; a word ends with its text."""
+    solid = ~space[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[starts] = True
+    cut[ends] = True
+    before = np.concatenate([[False], solid[:-1]]) & ~cut[:-1]
+    after = np.concatenate([solid[1:], [False]]) & ~cut[1:]
+    return np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+
+
+def word_hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each word low[first:end]; words are hashed about a megabyte at a time."""
     out = np.empty(len(first), np.uint64)
     i = 0
@@ -59,14 +70,8 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: i
     for i, j in runs_of(starts, ends, _PIECE):
         base = int(starts[i])
         low = LOWER[raw[base : int(ends[j - 1])]]
-        solid = ~SPACE[low]
-        cut = np.zeros(len(low) + 1, bool)
-        cut[starts[i:j] - base] = True
-        cut[ends[i:j] - base] = True
-        before = np.concatenate([[False], solid[:-1]]) & ~cut[:-1]
-        after = np.concatenate([solid[1:], [False]]) & ~cut[1:]
-        first, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-        h = _word_hashes(low, first, end)
+        first, end = word_bounds(low, starts[i:j] - base, ends[i:j] - base, SPACE)
+        h = word_hashes(low, first, end)
         a, b = np.searchsorted(first, starts[i:j] - base), np.searchsorted(first, ends[i:j] - base)
         if len(h) >= words:
             s = np.zeros(len(h) - words + 1, np.uint64)
