@@ -17,6 +17,7 @@ table writes no file and gives an empty result; other columns of the input are i
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from itertools import chain
@@ -29,47 +30,157 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.ordering import bucket, id_bounds, pieces
-from tilewright.llm.shared import filesystem, fresh_path, keep, publish
+from tilewright.llm.shared import filesystem, fresh_path, keep, publish, runs_of, text_bytes
+from tilewright.llm.shingles import LOWER, word_bounds, word_hashes
 
 SEEK_MAGIC, TABLE_MAGIC, FOOT_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 LEVEL = 1
-REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+#: Pieces remembered by a worker (some 60 bytes each); beyond that it forgets and starts again.
+REMEMBERED = 2_000_000
+#: Bytes that part a text, bytes that only the library can judge, and kinds of the others.
+CUTS, ODD = np.zeros(256, bool), np.zeros(256, bool)
+CUTS[[0x20, 0x0A]] = True
+ODD[[*range(0x20), 0x27, 0x7F, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
+ODD[0x0A] = False
+LETTER, DIGIT, SIGN = 1, 2, 3
+KIND = np.full(256, SIGN, np.int8)
+KIND[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
 
 _tokenizers: dict = {}
 
 
 class Encoder:
-    """The library's ids of whole texts. It drops white space and never joins what a space or a line end parts, so each part is
-    encoded once by the library and remembered."""
+    """The library's ids of whole texts, by way of the pieces that it encodes apart.
 
-    def __init__(self, path: str):
+    It drops white space, lowers letters, and cuts a text into runs of letters, single digits and runs of signs. Where all bytes
+    between two spaces are ASCII or Latin-1 letters, and none is an apostrophe or a control character, these cuts are found on the
+    bytes; anything else between two spaces is one piece, for the library to cut. Each distinct piece is encoded once by the library and
+    remembered under a 64-bit hash; ids of texts are gathered from there by arrays. Pieces of letters are encoded many at
+    a time and told apart by the tokens that end a word."""
+
+    def __init__(self, path: str, end_id: int | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a worker
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {p for parts in cut for p in parts if p not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {p for parts in cut for p in parts}
-        new = list(new)
-        for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for p in new:
-            if len(p) > REMEMBERED_CHARS:
-                del known[p]
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.last = np.array([] if end_id is None else [end_id], "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+        self.start, self.size = np.zeros(1, np.int64), np.array([len(self.last)])  # piece 0 ends a text
+        self.flat, self.used = np.concatenate([self.last, np.zeros(1 << 16, "<u4")]), len(self.last)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, pieces_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of these pieces, where each piece's begin, and how many it has."""
+        plain = np.array([w.isalpha() and (w.isascii() or w.lower().isalpha()) for w in pieces_], bool)
+        flat, size = [], np.zeros(len(pieces_), np.int64)
+        letters, order = np.flatnonzero(plain), []
+        for i in range(0, len(letters), 4096):
+            some = letters[i : i + 4096]
+            (ids,) = self._library([" ".join([pieces_[k] for k in some.tolist()])])
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(some):
+                plain[some] = False
+                continue
+            size[some] = np.diff(end, prepend=0)
+            flat.append(ids)
+            order.append(some)
+        rest = np.flatnonzero(~plain)
+        found = self._library([pieces_[k] for k in rest.tolist()])
+        size[rest] = [len(x) for x in found]
+        flat += found
+        order = np.concatenate([*order, rest])
+        where = np.empty(len(pieces_), np.int64)
+        where[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(flat) if flat else np.zeros(0, "<u4"), where, size
+
+    def _number(self, data, first, end, found, at) -> np.ndarray:
+        """Numbers of the pieces with these sorted distinct hashes; new ones are learnt."""
+        if len(self.hashes) + len(found) > REMEMBERED:
+            self._forget()
+        slot = np.searchsorted(self.hashes, found)
+        there = np.zeros(len(found), bool)
+        there[slot < len(self.hashes)] = self.hashes[slot[slot < len(self.hashes)]] == found[slot < len(self.hashes)]
+        number = np.zeros(len(found), np.int64)
+        number[there] = self.numbers[slot[there]]
+        new = np.flatnonzero(~there)
+        if len(new):
+            flat, where, size = self._ids_of([data[first[k] : end[k]].tobytes().decode() for k in at[new].tolist()])
+            number[new] = len(self.start) + np.arange(len(new))
+            if self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(flat), "<u4")])
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.start, self.size = np.concatenate([self.start, self.used + where]), np.concatenate([self.size, size])
+            self.used += len(flat)
+            self.hashes, self.numbers = np.insert(self.hashes, slot[new], found[new]), np.insert(self.numbers, slot[new], number[new])
+        return number
+
+    def encode_bytes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Ids of each text raw[start:end], and the end id, as little-endian unsigned 32-bit integers; texts lie one after the other."""
+        out: list[bytes] = []
+        for i, j in runs_of(starts, ends, 1 << 22):
+            base = int(starts[i])
+            data, first, end = byte_pieces(raw[base : int(ends[j - 1])], starts[i:j] - base, ends[i:j] - base)
+            found, at, each = np.unique(word_hashes(data, first, end), return_index=True, return_inverse=True)
+            number = self._number(data, first, end, found, at)
+            upto = np.searchsorted(first, ends[i:j] - base)  # pieces before each text's end
+            order = np.insert(number[each], upto, 0)
+            size = self.size[order]
+            edge = np.cumsum(size)
+            ids = self.flat[np.repeat(self.start[order] - edge + size, size) + np.arange(int(edge[-1]))]
+            cut = [0, *(4 * edge[upto + np.arange(len(upto))]).tolist()]
+            packed = ids.tobytes()
+            out += [packed[cut[k] : cut[k + 1]] for k in range(len(upto))]
         return out
 
-
-def encoder(path: str) -> Encoder:
-    if path not in _tokenizers:
-        _tokenizers[path] = Encoder(path)
-    return _tokenizers[path]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))
+
+
+def byte_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with lowered letters, first bytes, ends) of the pieces of texts."""
+    after_c3 = np.concatenate([[False], raw[:-1] == 0xC3])
+    data = LOWER[raw]
+    capital = after_c3 & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
+    data = np.where(capital, raw + np.uint8(0x20), data)
+    first, end = word_bounds(data, starts, ends, CUTS)
+    odd = ODD[raw] | (after_c3 & ((raw == 0x97) | (raw == 0xB7)))
+    if odd.any():
+        count = np.concatenate([[0], np.cumsum(odd)])
+        strange = (count[end] > count[first]).astype(np.int8)
+        mark = np.zeros(len(raw) + 1, np.int8)
+        mark[first] += strange
+        mark[end] -= strange
+        whole = np.cumsum(mark[:-1], dtype=np.int8) > 0
+    else:
+        whole = np.zeros(len(raw), bool)
+    kind = KIND[data]
+    solid = ~CUTS[data]
+    start = np.zeros(len(raw) + 1, bool)
+    start[1:-1] = solid[1:] & solid[:-1] & ~whole[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    start[first] = True
+    at = np.flatnonzero(start)
+    stop = np.zeros(len(raw) + 2, bool)
+    stop[end] = True
+    stop[at] |= start[at] & np.concatenate([[False], solid])[at]
+    edges = np.flatnonzero(stop)
+    return data, at, edges[np.searchsorted(edges, at, "right")]
+
+
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """One encoder per worker process."""
+    if (path, end_id) not in _tokenizers:
+        _tokenizers[path, end_id] = Encoder(path, end_id)
+    return _tokenizers[path, end_id]
 
 
 def write_frames(out, documents) -> tuple[int, int]:
@@ -125,22 +236,10 @@ class FrameFile:
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        e = encoder(path)
+        e = encoder(path, end_id)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            out: list[bytes] = []
-            i = 0
-            while i < len(texts):
-                j, size = i + 1, len(texts[i])
-                while j < len(texts) and size + len(texts[j]) <= 1 << 20:
-                    size += len(texts[j])
-                    j += 1
-                out += e.encode(texts[i:j])
-                i = j
-            yield pa.RecordBatch.from_pydict({"part": b.column("part"), "doc_id": b.column("doc_id"), "ids": pa.array([x + end for x in out], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": b.column("part"), "doc_id": b.column("doc_id"), "ids": pa.array(e.encode_bytes(*text_bytes(b.column("text"))), pa.binary())})
 
     return run
 
