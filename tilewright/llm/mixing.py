@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.llm.shared import keep
+
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 1024
 
@@ -28,7 +30,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality_weight(text: Column, size: Column) -> Column:
+def quality_weight(text: Column) -> Column:
     """A document's weight: the share of its characters that are no symbols, 0.05 at least. Symbols are the ASCII signs but
     stop, comma, apostrophe and hyphen."""
     symbols = F.length(F.coalesce(text, F.lit(""))) - F.length(F.translate(F.coalesce(text, F.lit("")), r"""!"#$%&()*+/:;<=>?@[\]^_`{|}~""", ""))
@@ -60,9 +62,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """doc_id, size, source, source_size, target, taken (words, repeats counted) of every document row."""
     text = F.col("text").cast("string")
-    d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(text).alias("size"), quality_weight(text, F.lit(0)).alias("w"), uniform(F.col("doc_id"), seed).alias("u"))
+    d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(text).alias("size"), quality_weight(text).alias("w"), uniform(F.col("doc_id"), seed).alias("u"))
     d = d.withColumn("key", -F.log("u") / F.col("w")).withColumn("slice", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * SLICES).cast("int"))
-    d = d.select("doc_id", "source", "size", "key", "slice")
+    d = keep(d.select("doc_id", "source", "size", "key", "slice"), "sized")  # texts are read once for the three uses below
     t = targets(d.select("source", "size"), weights, cap)
     slices = d.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     running = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
