@@ -29,7 +29,7 @@ from tilewright.llm.shared import filesystem, fresh_path, keep, publish
 
 #: Fixed value: the date of all records, so that archives are the same on every run.
 DATE = "2024-01-01T00:00:00Z"
-LEVEL = 1
+LEVEL = 6
 
 MANIFEST = "part int, path string, seq int, page_id long, offset long, length long, n_bytes long, record_sha256 string, tree binary"
 
