@@ -35,8 +35,8 @@ grams as (select id, side, substr(repeat(chr(2), 3) || lm, i, 4) as g from y, la
 s as (select y.*, coalesce(t.total/length(lm), 0) as raw from y left join (select id, sum(ln(pa) - ln(pr)) as total from grams join m3 using (g) group by id) t using (id)),
 z as (select *, round(raw, 6) as score from s),
 b as (select greatest(-1000, least(1000, cast(floor(score/0.01::double) as integer))) as bin, count(*) filter (said = 'allow') as a, count(*) filter (said <> 'allow') as r from z where apart and said is not null group by 1),
-c as (select bin, round((sum(a) over o)/sum(a) over () - (sum(r) over o)/sum(r) over (), 9) as gain, sum(a) over () as na, sum(r) over () as nr from b window o as (order by bin desc)),
-th as (select coalesce((select bin*0.01::double from c where na > 0 and nr > 0 order by gain desc, bin limit 1), 0) as t)
+c as (select bin, round((sum(a) over o)/sum(a) over () - (sum(r) over o)/sum(r) over (), 9) as gain, sum(a) over () as na, sum(r) over () as nr, lag(bin) over (order by bin) as below from b window o as (order by bin desc)),
+th as (select coalesce((select coalesce((bin + below + 1)/2.0::double, bin)*0.01::double from c where na > 0 and nr > 0 order by gain desc, bin limit 1), 0) as t)
 select page_id, host, path, rule, coalesce(said, case when score >= t then 'allow' else 'block' end) as verdict from z, th"""
 
 # op2: spans from the lengths of what lies between matches.

@@ -104,13 +104,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id") ->
 
 
 def calibrated(scored: DataFrame) -> float:
-    """The lower edge of the bin from which on to accept, so that accepted minus rejected shares above it are most (ties: the
-    least edge); from at most 2 * BINS + 1 rows of counts."""
+    """The threshold: of the held-out scores' bins, the one from which on to accept so that accepted less rejected shares above are most
+    (ties: the least), and halfway down to the next bin that is taken. From at most 2 * BINS + 1 rows of counts."""
     place = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") / BIN))).cast("int")
     bins = scored.where("apart").groupBy(place.alias("bin")).agg(F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") != "allow").alias("r"))
-    up = Window.orderBy(F.desc("bin"))
+    up, down = Window.orderBy(F.desc("bin")), Window.orderBy("bin")
     all_ = Window.partitionBy()
     gain = F.sum("a").over(up) / F.sum("a").over(all_) - F.sum("r").over(up) / F.sum("r").over(all_)
-    bins = bins.withColumn("na", F.sum("a").over(all_)).withColumn("nr", F.sum("r").over(all_)).where("na > 0 and nr > 0")
-    best = bins.withColumn("gain", F.round(gain, 9)).orderBy(F.desc("gain"), "bin").select("bin").first()
-    return 0.0 if best is None else best["bin"] * BIN
+    bins = bins.withColumns({"na": F.sum("a").over(all_), "nr": F.sum("r").over(all_), "below": F.lag("bin").over(down)}).where("na > 0 and nr > 0")
+    best = bins.withColumn("gain", F.round(gain, 9)).orderBy(F.desc("gain"), "bin").select(F.coalesce((F.col("bin") + F.col("below") + 1) / 2, F.col("bin").cast("double")).alias("edge")).first()
+    return 0.0 if best is None else best["edge"] * BIN
