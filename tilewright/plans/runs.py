@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions import parse, score
-from tilewright.operators import compare, embed, gates, grid, select, stats, stitch
-from tilewright.plans.selection import dims, gated_pool, rounded, runs, scored
+from tilewright.functions import parse
+from tilewright.operators import compare, embed, grid, select, stats, stitch
+from tilewright.plans import selectors
+from tilewright.plans.selection import dims, rounded, runs, scored
 from tilewright.plans.sql import oracle, r6
 from tilewright.sources import fixtures as fx
 
@@ -357,34 +358,43 @@ def recommendation(spark, d):
 # Selectors with embeddings, checked in the tests.
 
 
-def _with_vectors(spark, d) -> DataFrame:
-    """The gated pool with a vector, cluster and representativeness for each tile: tiles share the vectors by number."""
+def _vectors(spark, d) -> DataFrame:
+    """A vector, cluster and representativeness for each tile of the pool: tiles share the vectors by number."""
     e = embed.representativeness(fx.embeddings(spark, d)).select("vec_id", "cluster_id", "representativeness", F.col("unit").alias("embedding"))
     n = F.lit(e.count())
-    pool = gated_pool(spark, d).withColumn("vec_id", F.pmod(F.substring("candidate_id", 11, 20).cast("long"), n))
-    pool = select.with_regions(pool.join(dims(fx.candidates(spark, d)), "slide_id"))
-    return pool.join(e, "vec_id")
+    tiles = fx.candidates(spark, d).select("slide_id", "candidate_id", F.pmod(F.substring("candidate_id", 11, 20).cast("long"), n).alias("vec_id"))
+    return tiles.join(e, "vec_id").drop("vec_id")
 
 
-EMBED_TERMS = {"k": 16, "diversity": 0.15, "redundancy": 0.10, "embedding": 0.20, "similarity": 0.15, "cluster": 0.10, "representative": 0.10, "round_robin": True, "fill": True}
+def _embedded(spark, d, name: str) -> DataFrame:
+    c = fx.candidates(spark, d)
+    p = selectors.run(name, c, dims(c), _vectors(spark, d)).where("selected")
+    return rounded(p.select("slide_id", "candidate_id", "rank", "score_final", "morphology_diversity_score"), "score_final", "morphology_diversity_score")
 
 
 @query()
 def embed_quota(spark, d):
-    q = gates.quality_gate(_with_vectors(spark, d), 0.15, 16)
-    q = gates.nearest_rank(q, "score_raw", 0.20, "slide_id", "threshold", F.col("quality_eligible"))
-    q = q.withColumns({"eligible": F.col("quality_eligible") & (F.col("score_raw") >= F.col("threshold")), "reserve": F.col("quality_eligible")})
-    p = select.pick(q, select.Terms(**EMBED_TERMS, fields=tuple(select.SMART_FIELDS)), "score_v3_base", vectors="embedding")
-    return rounded(p.where("selected").select("slide_id", "candidate_id", "rank", "score_final", "morphology_diversity_score"), "score_final", "morphology_diversity_score")
+    return _embedded(spark, d, "embed_quota")
 
 
 @query()
 def gated_embed(spark, d):
-    q = gates.cascade(_with_vectors(spark, d), 16)
-    q = q.withColumn("score_raw", F.col("score_v3_base") + F.col("medical_image_quality_score") * 0.25 + F.col("medical_image_utility_score") * 0.25)
-    weights = EMBED_TERMS | {"diversity": 0.10, "embedding": 0.08, "similarity": 0.08, "cluster": 0.05, "representative": 0.05}
-    p = select.pick(q, select.Terms(**weights, fields=(*select.SMART_FIELDS, "medical_image_quality_score", "medical_image_utility_score")), vectors="embedding")
-    return rounded(p.where("selected").select("slide_id", "candidate_id", "rank", "score_final", "morphology_diversity_score"), "score_final", "morphology_diversity_score")
+    return _embedded(spark, d, "gated_embed")
+
+
+@query()
+def segment_selected(spark, d):
+    """The first four tiles by score of each slide, segmented by the stand-in network on synthetic pixels: windows of 64 in, 32 out, tiles of 64."""
+    from tilewright.operators import segment
+
+    chosen = select.top_k(scored(spark, d), 4, [F.desc("score_raw"), F.col("candidate_id")])
+
+    class Wide(dict):
+        def __missing__(self, key):
+            return 40 * fx.TILE, 10**6
+
+    s = segment.segment(chosen, lambda: segment.SyntheticSlides(Wide()), lambda: segment.BrightnessSegmenter(64, 32), tile=64)
+    return s.select("slide_id", "candidate_id", "status", "prediction_shape", F.map_entries("class_pixel_counts").alias("class_pixel_counts"), F.round("mean_entropy", 6).alias("mean_entropy"))
 
 
 @query()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions import parse, score
+from tilewright.functions import score
 from tilewright.operators import gates, grid, select, stats
+from tilewright.plans import selectors
 from tilewright.plans.sql import FEATURES, oracle, r6
 from tilewright.sources import fixtures as fx
 
@@ -213,8 +214,8 @@ def greedy_spatial_topk(spark, d):
 @query()
 def quota_greedy_topk(spark, d):
     """Region round robin with the distance penalty and the feature bonus, over the score's upper three quarters."""
-    q = gates.nearest_rank(regioned(spark, d), "score_raw", 0.25, "slide_id", "threshold").withColumn("eligible", F.col("score_raw") >= F.col("threshold"))
-    p = select.pick(q, select.Terms(k=16, diversity=0.10, round_robin=True, fields=tuple(select.SMART_FIELDS))).where("selected")
+    c = fx.candidates(spark, d)
+    p = selectors.run("quota_diverse", c, dims(c), cap=0).where("selected")
     return rounded(p.select("slide_id", "candidate_id", "rank", "score_final"), "score_final")
 
 
@@ -278,15 +279,13 @@ def top_medical(spark, d):
 
 @query()
 def uniform_select(spark, d):
-    return select.uniform(fx.candidates(spark, d), 16)
+    c = fx.candidates(spark, d)
+    return selectors.run("uniform", c, dims(c)).select("slide_id", "candidate_id", "x_level0", "y_level0", "rank")
 
 
 @query()
 def quality_quota(spark, d):
     """Quality gate, score quantile, region round robin, then a fill from the quality pool."""
-    q = score.quality_scores(fx.candidates(spark, d))
-    q = gates.quality_gate(select.with_regions(q.join(dims(fx.candidates(spark, d)), "slide_id")), 0.15, 16)
-    q = gates.nearest_rank(q, "score_raw", 0.20, "slide_id", "threshold", F.col("quality_eligible"))
-    q = q.withColumns({"eligible": F.col("quality_eligible") & (F.col("score_raw") >= F.col("threshold")), "reserve": F.col("quality_eligible")})
-    t = select.Terms(k=16, diversity=0.15, redundancy=0.10, round_robin=True, fill=True, fields=tuple(select.SMART_FIELDS))
-    return rounded(select.pick(q, t).where("selected").select("slide_id", "candidate_id", "rank", "score_final"), "score_final")
+    c = fx.candidates(spark, d)
+    picks = selectors.selected(selectors.run("quality_quota", c, dims(c)), c)
+    return rounded(picks.select("slide_id", "candidate_id", "rank", "filename", "score_final"), "score_final")
