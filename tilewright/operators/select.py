@@ -181,14 +181,15 @@ def pick(df: DataFrame, terms: Terms, base: str = "score_raw", by: str = "slide_
         reserve = get("reserve", False).astype(bool) if "reserve" in g else (eligible if eligible.sum() else np.ones(n, bool))
         found = run_picks(rows, eligible, reserve, get("region_id", ""), p)
         late = p.parts()
-        out = pd.DataFrame({by: g[by], "candidate_id": g["candidate_id"], "selected": False, "rank": pd.array([None] * n, "Int32"), "score_final": p.score(late), **late})
-        for r, (i, s, terms_at) in enumerate(found, 1):
-            out.loc[i, "selected"] = True
-            out.loc[i, "rank"] = r
-            out.loc[i, "score_final"] = s
-            for name, v in terms_at.items():
-                out.loc[i, name] = v
-        return out[[by, "candidate_id", "selected", "rank", "score_final", *PARTS]]
+        values = {"score_final": p.score(late), **{k: np.array(v, float) for k, v in late.items()}}
+        rank = np.zeros(n, np.int32)
+        for r, (i, s, at_pick) in enumerate(found, 1):
+            rank[i] = r
+            values["score_final"][i] = s
+            for name, v in at_pick.items():
+                values[name][i] = v
+        ranks = pd.arrays.IntegerArray(rank, rank == 0)
+        return pd.DataFrame({by: g[by], "candidate_id": g["candidate_id"], "selected": rank > 0, "rank": ranks, "score_final": values["score_final"], **{c: values[c] for c in PARTS}})
 
     return df.select(*cols).groupBy(by).applyInPandas(kernel, OUT.replace("slide_id", by, 1))
 
