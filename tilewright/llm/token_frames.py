@@ -11,7 +11,7 @@ A file holds the documents of one range of ids in ascending order, each in a fra
 Any zstandard reader decompresses a file as a whole; :class:`FrameFile` reads the tables from the end and decompresses only the
 documents asked for, each checked.
 
-Defined cases: a null or empty text has only the end id; null doc_ids come first; rows that repeat a doc_id go by their ids; an empty
+Defined cases: a null or empty text has only the end id; null doc_ids come first; rows that repeat a doc_id go by their frames; an empty
 table writes no file and gives an empty result; other columns of the input are ignored; texts of any length are encoded whole.
 """
 
@@ -183,17 +183,24 @@ def encoder(path: str, end_id: int | None) -> Encoder:
     return _tokenizers[path, end_id]
 
 
+def frame_of(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple[bytes, int, int]:
+    """A document's frame, its decompressed size and its checksum."""
+    return packer.compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
+
+
+def packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
+
+
 def write_frames(out, documents) -> tuple[int, int]:
-    """Write (doc_id, ids as bytes) in the given order; returns the numbers of documents and of tokens."""
-    packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
+    """Write (doc_id, frame, size, checksum) in the given order; returns the numbers of documents and of tokens."""
     seek, ids, nulls, tokens = bytearray(), [], bytearray(), 0
-    for doc, raw in documents:
-        frame = packer.compress(raw)
+    for doc, frame, size, check in documents:
         out.write(frame)
-        seek += struct.pack("<III", len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
+        seek += struct.pack("<III", len(frame), size, check)
         ids.append(doc or 0)
         nulls.append(doc is None)
-        tokens += len(raw) // 4
+        tokens += size // 4
     table = np.array(ids, "<i8").tobytes() + bytes(nulls)
     out.write(struct.pack("<II", TABLE_MAGIC, len(table)) + table)
     foot = struct.pack("<IBI", len(ids), CHECKSUMS, FOOT_MAGIC)
@@ -237,9 +244,11 @@ class FrameFile:
 
 def _encode(path: str, end_id: int):
     def run(batches):
-        e = encoder(path, end_id)
+        e, pack = encoder(path, end_id), packer()
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"part": b.column("part"), "doc_id": b.column("doc_id"), "ids": pa.array(e.encode_bytes(*text_bytes(b.column("text"))), pa.binary())})
+            frames = [frame_of(raw, pack) for raw in e.encode_bytes(*text_bytes(b.column("text")))]
+            column = lambda k, kind: pa.array([f[k] for f in frames], kind)
+            yield pa.RecordBatch.from_pydict({"part": b.column("part"), "doc_id": b.column("doc_id"), "frame": column(0, pa.binary()), "size": column(1, pa.int64()), "check": column(2, pa.int64())})
 
     return run
 
@@ -251,7 +260,7 @@ def _write(folder: str):
         if first is None:
             return
         part = first.column("part")[0].as_py()  # a partition is one file, written as its rows stream by
-        rows = (r for b in chain([first], batches) for r in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()))
+        rows = (r for b in chain([first], batches) for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "frame", "size", "check"))))
         name = f"{folder}/tokens-{part:07d}.zst"
         done = {}
         publish(name, lambda out: done.update(n=write_frames(out, rows)))
@@ -265,8 +274,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bounds = id_bounds(narrow, "doc_id", pieces(docs.sparkSession))
     part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket(F.col("doc_id"), bounds) + 1).cast("int")
-    ids = narrow.select(part.alias("part"), "doc_id", "text").mapInArrow(_encode(tokenizer, end_id), "part int, doc_id long, ids binary")
-    dealt = ids.repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    # Frames are made before the shuffle: they are what moves, a third of the ids' bytes.
+    frames = narrow.select(part.alias("part"), "doc_id", "text").mapInArrow(_encode(tokenizer, end_id), "part int, doc_id long, frame binary, size long, check long")
+    dealt = frames.repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "frame")
     files = keep(dealt.mapInArrow(_write(folder), "part int, path string, documents long, tokens long"), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
