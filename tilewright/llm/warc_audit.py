@@ -8,7 +8,7 @@ bytes, a node its two children; an odd node goes up as it is. Trees are kept apa
 whose roots differ goes down the tree, only into branches that differ, to the damaged records.
 
 Defined cases: a null html is an empty payload; a null url leaves out its header line, and line ends in one are
-percent-encoded; null page_ids come first; rows that repeat a page_id are records of their own, in order of url and html; an
+percent-encoded; null page_ids come first; rows that repeat a page_id are records of their own, in order of their digests; an
 empty table writes no file and gives an empty result; a replica without a file, or that ends early, has its records
 ``missing``; other columns of the input are ignored; payloads of any length are stored whole.
 """
@@ -93,6 +93,12 @@ def differing_leaves(a: list[list[bytes]], b: list[list[bytes]]) -> tuple[list[i
     return at, seen
 
 
+def _pack(batches):
+    for b in batches:
+        whole = [record(*r) for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")))]
+        yield pa.RecordBatch.from_pydict({"part": b.column("part"), "page_id": b.column("page_id"), "stored": pa.array(map(packed, whole), pa.binary()), "n_bytes": pa.array(map(len, whole), pa.int64()), "record_sha256": pa.array([hashlib.sha256(w).hexdigest() for w in whole])})
+
+
 def _write(folder: str):
     def run(batches):
         batches = (b for b in batches if b.num_rows)
@@ -105,12 +111,10 @@ def _write(folder: str):
         def write(out):
             at = 0
             for b in chain([first], batches):
-                for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                    whole = record(page, url, html)
-                    stored = packed(whole)
+                for page, stored, size, sha in zip(*(b.column(c).to_pylist() for c in ("page_id", "stored", "n_bytes", "record_sha256"))):
                     out.write(stored)
                     leaves.append(leaf(at, stored, len(stored)))
-                    rows.append((part, name, len(rows), page, at, len(stored), len(whole), hashlib.sha256(whole).hexdigest(), None))
+                    rows.append((part, name, len(rows), page, at, len(stored), size, sha, None))
                     at += len(stored)
 
         publish(name, write)
@@ -126,7 +130,9 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
     narrow = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     bounds = id_bounds(narrow, "page_id", pieces(pages.sparkSession))
     part = F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(bucket(F.col("page_id"), bounds) + 1).cast("int")
-    dealt = narrow.select(part.alias("part"), "page_id", "url", "html").repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("page_id"), "url", "html")
+    # Records are compressed before the shuffle, which moves less.
+    stored = narrow.select(part.alias("part"), "page_id", "url", "html").mapInArrow(_pack, "part int, page_id long, stored binary, n_bytes long, record_sha256 string")
+    dealt = stored.repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("page_id"), "record_sha256")
     return keep(dealt.mapInArrow(_write(folder), MANIFEST), "warc-manifest")
 
 
