@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import text_bytes
+from tilewright.llm.shared import runs_of, text_bytes
+from tilewright.llm.shingles import SPACE, word_bounds, word_hashes
 
 #: Rows of either kind that are fitted, at most.
 SAMPLE = 6000
 THRESHOLD = 0.3
 FOLDS = 5
-WIDTH = 256 + 5
+WIDTH = 256 + 8
 
 
 def held_out(doc_id) -> bool:
@@ -41,19 +42,31 @@ def held_out(doc_id) -> bool:
 
 
 def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One row a text raw[start:end]; texts lie one after the other."""
     out = np.zeros((len(starts), WIDTH), np.float32)
-    for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
-        n = e - s
-        if n == 0:
-            continue
-        b = raw[s:e]
-        count = np.bincount(b, minlength=256)
-        out[i, :256] = np.sqrt(count / n)
-        out[i, 256] = np.log1p(n) / 10
-        out[i, 257] = min(2.0, n / (count[32] + count[10] + 1) / 10)
-        out[i, 258] = np.log1p(n / (count[10] + 1)) / 10
-        out[i, 259] = np.count_nonzero(b[1:] == b[:-1]) / n * 4
-        out[i, 260] = np.count_nonzero(count) / 64
+    for i, j in runs_of(starts, ends, 1 << 18):
+        base = int(starts[i])
+        data = raw[base : int(ends[j - 1])]
+        first, end = word_bounds(data, starts[i:j] - base, ends[i:j] - base, SPACE)
+        words = word_hashes(data, first, end)
+        cut = np.searchsorted(first, np.concatenate([starts[i:j], ends[j - 1 : j]]) - base).tolist()
+        for k in range(i, j):
+            b = data[int(starts[k]) - base : int(ends[k]) - base]
+            n = len(b)
+            if not n:
+                continue
+            count, w = np.bincount(b, minlength=256), words[cut[k - i] : cut[k - i + 1]]
+            row = out[k]
+            row[:256] = np.sqrt(count / n)
+            row[256] = np.log1p(n) / 10
+            row[257] = min(2.0, n / (len(w) + 1) / 10)
+            row[258] = np.log1p(n / (count[10] + 1)) / 10
+            row[259] = np.count_nonzero(b[1:] == b[:-1]) / n * 4
+            row[260] = np.count_nonzero(count) / 64
+            if len(w) > 1:
+                again = np.count_nonzero(w[1:] == w[:-1]) / (len(w) - 1)
+                row[261], row[262] = np.sqrt(again), min(1.0, 5 * again)
+                row[263] = len(np.unique(w)) / len(w)
     return out
 
 
