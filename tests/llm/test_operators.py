@@ -382,7 +382,7 @@ def test_frames(tmp_path):
     name = tmp_path / "a.zst"
     rows = [(None, b""), (3, np.arange(5, dtype="<u4").tobytes()), (3, b""), (9, np.arange(70_000, dtype="<u4").tobytes())]
     with open(name, "wb") as f:
-        assert token_frames.write_frames(f, rows) == (4, 70_005)
+        assert token_frames.write_frames(f, [(d, *token_frames.frame_of(raw, token_frames.packer())) for d, raw in rows]) == (4, 70_005)
     files, path = filesystem(str(name))
     with files.open_input_file(path) as f:
         frames = token_frames.FrameFile(f)
