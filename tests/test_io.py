@@ -188,3 +188,31 @@ def test_intake(spark, sf, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     events = spark.createDataFrame([(1, "click", 2.0)], "t long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t"))
     assert intake.counts_by_window(events).first()["n"] == 1
+
+
+def test_whole_comparisons(spark, sf):
+    from tilewright.plans import comparison
+    from tilewright.plans.selection import runs
+
+    r = runs(spark, sf)
+    a, b = (r.where(F.col("method") == m).drop("method") for m in ("baseline", "smart"))
+    pool = fixtures.candidates(spark, sf)
+    got = comparison.selections(a, b, pool, ({"seed": 1, "pool_hash": "x"}, {"seed": 2, "pool_hash": "y"}))
+    assert got["warnings"] == ["seed differs: 1 and 2", "the pools differ"] and got["untraceable"].isEmpty()
+    assert got["overlap"].count() == a.select("slide_id").distinct().count() and got["spatial"].count() > 0 and got["scores"].count() > 0
+    with pytest.raises(ValueError):
+        comparison.selections(a, b, pool.where("false"), strict=True)
+    seg = comparison.segmentations(fixtures.segmentation(spark, sf))
+    assert seg["classes"].count() == 5 and seg["status"].count() == 2
+
+
+def test_caches_and_ordinals(spark):
+    pool = spark.createDataFrame([(1, "a"), (1, "b")], "slide_id int, candidate_id string")
+    cache = spark.createDataFrame([(1, "a", 0.5, 256), (1, "b", 0.7, 256), (1, "c", None, 256)], "slide_id int, candidate_id string, f double, feature_size int")
+    assert tables.reusable_cache(cache, pool, ["f"], 256).count() == 2
+    assert tables.reusable_cache(cache, pool, ["f"], 512) is None and tables.reusable_cache(cache, pool, ["g"], 256) is None
+    assert tables.reusable_cache(cache.where("candidate_id <> 'b'"), pool, ["f"], 256) is None
+    chosen = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "slide_id int, candidate_id string, rank int")
+    assert tables.nth_selected(chosen, 1).first()["candidate_id"] == "b"
+    with pytest.raises(IndexError):
+        tables.nth_selected(chosen, 2)

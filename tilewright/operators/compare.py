@@ -111,3 +111,11 @@ def recommendation(agreement: Column, seam_ratio: Column, uncovered: Column, sea
         .when(agreement < 0.03, "similar")
         .otherwise("inconclusive")
     )
+
+
+def class_legend(counts: DataFrame, names: DataFrame, colours: int = 8) -> DataFrame:
+    """Observed and known classes with name, pixels and share, and the place in the palette; a class without a name is ``class <id>``."""
+    both = counts.join(F.broadcast(names), "class_id", "full")
+    n = F.coalesce("pixels", F.lit(0))
+    share = F.try_divide(n, F.sum(n).over(Window.partitionBy()))  # as many rows as classes
+    return both.select("class_id", F.coalesce("name", F.concat(F.lit("class "), F.col("class_id").cast("string"))).alias("name"), n.cast("long").alias("pixels"), share.alias("ratio"), F.pmod("class_id", F.lit(colours)).cast("int").alias("palette_index"))

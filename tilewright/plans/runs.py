@@ -402,3 +402,36 @@ def kmeans_fallback(spark, d):
     """Clusters of 8 in pools of 50 vectors."""
     pools = fx.embeddings(spark, d).withColumn("pool_id", F.floor(F.col("vec_id") / 50))
     return embed.kmeans_per_group(pools, 8, 42, "pool_id")
+
+
+NAMES = [(0, "tumour"), (1, "stroma"), (2, "inflammatory"), (3, "necrosis"), (5, "other")]
+NAMES_SQL = "names(class_id, name) as (values " + ", ".join(f"({i}, '{n}')" for i, n in NAMES) + ")"
+
+
+@query(oracle(f"""also {NAMES_SQL}, n as (select y_true as class_id, count(*) as pixels from fx_labels group by 1)
+select class_id, coalesce(name, 'class ' || class_id) as name, coalesce(pixels, 0) as pixels, {r6('coalesce(pixels, 0)/sum(coalesce(pixels, 0)) over ()')} as ratio, class_id % 8 as palette_index from n full join names using (class_id)""", "fx_labels"))
+def class_legend(spark, d):
+    n = fx.label_pixels(spark, d).groupBy(F.col("y_true").alias("class_id")).agg(F.count(F.lit(1)).alias("pixels"))
+    return rounded(compare.class_legend(n, spark.createDataFrame(NAMES, "class_id int, name string")), "ratio")
+
+
+@query(oracle("""select warning, count(*) as n from (select unnest(list_filter([case when slide_height <> 6144 or slide_width <> 8192 then 'size differs from the tile' end, case when mpp_x is null or mpp_x = 0 then 'resolution unknown' end, case when abs(mpp_x - cast(0.25 as double)) > cast(0.05 as double) then 'resolution outside the tolerance' end], lambda w: w is not null)) as warning from fx_slides) group by 1""", "fx_slides"))
+def input_fault_counts(spark, d):
+    """Validation warnings of slides, the narrowest whole size as the tile in question."""
+    from tilewright.operators import segment
+
+    s = fx.slides(spark, d).withColumns({"h": F.when(F.col("slide_height") == 6144, 1024).otherwise(0), "w": F.when(F.col("slide_width") == 8192, 1024).otherwise(0)})
+    faults = segment.input_faults(F.col("h"), F.col("w"), F.lit(3), F.lit(0), F.lit(255), F.col("mpp_x"))
+    return s.select(F.explode(faults).alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(oracle(f"""select strategy, class_id, {r6('avg(r)')} as mean_ratio, count(*) as tiles from (select mask_id, s.strategy, c.class_id, count(*) filter (case s.strategy when 'no_overlap' then y_true else y_pred end = c.class_id)/64.0 as r
+from fx_labels, (select unnest(['no_overlap', 'overlap_aware']) as strategy) s, (select unnest(range(5))::integer as class_id) c group by 1, 2, 3) group by 1, 2""", "fx_labels"))
+def strategy_class_means(spark, d):
+    from tilewright.operators import evaluate
+    from tilewright.plans import comparison
+
+    p = fx.label_pixels(spark, d)
+    side = lambda label, name: evaluate.class_distribution(p, "mask_id", label).select(F.col("mask_id").alias("tile_id"), F.lit(name).alias("strategy"), "class_id", "ratio")
+    both = side("y_true", "no_overlap").unionByName(side("y_pred", "overlap_aware"))
+    return rounded(comparison.strategies(both, 5), "mean_ratio")

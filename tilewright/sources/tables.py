@@ -62,3 +62,26 @@ def slides_in(spark: SparkSession, folder: str, expected: int | None = None, suf
     if expected is not None and (n := files.count()) != expected:
         raise ValueError(f"{n} slides in {folder}, {expected} expected")
     return files
+
+
+def reusable_cache(cache: DataFrame, pool: DataFrame, fields: list[str], feature_size: int) -> DataFrame | None:
+    """Cached feature rows of a pool, if they serve all of it: every id there once, every field filled, the same feature size. Else None."""
+    if any(f not in cache.columns for f in (*fields, "feature_size", "candidate_id", "slide_id")):
+        return None
+    keys = ["slide_id", "candidate_id"]
+    rows = pool.select(*keys).join(cache, keys, "left")
+    whole = F.lit(True)
+    for f in fields:
+        whole = whole & F.col(f).isNotNull()
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("d"), F.bool_and(whole & (F.col("feature_size") == feature_size)).alias("ok")).first()
+    return rows.select(*keys, *fields) if found["ok"] and found["n"] == found["d"] else None
+
+
+def nth_selected(selected: DataFrame, index: int, by: str = "slide_id") -> DataFrame:
+    """The row of each slide at an ordinal from 0; an error if a slide has too few."""
+    if index < 0:
+        raise ValueError("index must not be negative")
+    n = selected.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    if not n.where(F.col("n") <= index).isEmpty():
+        raise IndexError(f"fewer than {index + 1} selected rows")
+    return selected.where(F.col("rank") == index + 1)
