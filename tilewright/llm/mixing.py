@@ -24,6 +24,8 @@ from tilewright.llm.shared import keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 1024
+#: Documents up to which their numbers of copies (12 bytes each) are broadcast to the texts; beyond, both sides shuffle.
+MAX_BROADCAST_ROWS = 400_000
 
 
 def word_count(text: Column) -> Column:
@@ -86,7 +88,7 @@ def repeat_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     rows = mix(docs, seed).select("doc_id", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int").alias("__copies"))
     known = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if known["n"] == known["d"]:
-        joined = docs.join(rows, "doc_id")
+        joined = docs.join(F.broadcast(rows) if known["n"] <= MAX_BROADCAST_ROWS else rows, "doc_id")
     else:  # repeated or null ids: rows are paired off by their rank inside the id, which the size decides
         size = word_count(F.col("text").cast("string"))
         a = docs.withColumn("__size", size).withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text")))

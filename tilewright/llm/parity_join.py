@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
 from tilewright.llm.ordering import pieces
-from tilewright.llm.shared import keep, text_bytes
+from tilewright.llm.shared import TEXT_ROWS, batch_rows, keep, text_bytes
 from tilewright.llm.shingles import U, mix, shingle_sets
 
 #: Similarity in hundredths, and words of a shingle.
@@ -49,7 +49,9 @@ SIMILARITY, WORDS = 80, 5
 SMALL = 32
 #: Members of a star that are verified with one copy of the center's text; rows of a block of a hot key.
 STAR_BLOCK, KEY_BLOCK = 500, 512
-#: Candidate documents up to which their pairs are broadcast to the texts (24 bytes a pair); beyond, both sides shuffle.
+#: Rows of an Arrow batch of keys.
+NUMBER_ROWS = 10_000
+#: Rows of ids up to which they are broadcast to the texts (8 to 24 bytes each); beyond, both sides shuffle.
 MAX_BROADCAST_ROWS = 400_000
 
 PROFILE = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, keys array<long>"
@@ -213,7 +215,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null").join(wanted, "doc_id")
     n = pieces(docs.sparkSession)
     dealt = texts.repartition(n, "center", "salt").sortWithinPartitions("center", "salt", "member", "doc_id")
-    return dealt.select("center", "salt", "member", "doc_id", "text").mapInArrow(_verify, "a long, b long")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        return keep(dealt.select("center", "salt", "member", "doc_id", "text").mapInArrow(_verify, "a long, b long"), "verified")
 
 
 def _folded(sketch: int, cells: int, to: int) -> int:
@@ -346,7 +349,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = pieces(docs.sparkSession)
-    profile = keep(docs.mapInArrow(_profile, PROFILE), "profile")
+    spark = docs.sparkSession
+    with batch_rows(spark, TEXT_ROWS):
+        profile = keep(docs.mapInArrow(_profile, PROFILE), "profile")
     known = profile.where("n_shingles > 0 and doc_id is not null")
 
     # Documents of equal sets hang on the least of them.
@@ -361,7 +366,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # Stars of the keys; a key cut by a partition's edge has several centers, and these form a star again.
     keyed = known.where("size(keys) > 0").select(F.explode("keys").alias("key"), "doc_id")
     stars = keyed.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, "key long, center long, doc_id long, edge boolean")
-    stars = keep(stars, "stars")
+    with batch_rows(spark, NUMBER_ROWS):
+        stars = keep(stars, "stars")
     edges = stars.where("edge").select("key", "center").distinct()
     edges = edges.join(edges.groupBy("key").agg(F.min("center").alias("first")), "key").where("center <> first").select(F.col("first").alias("a"), F.col("center").alias("b"))
     pairs = stars.where("not edge and center <> doc_id").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct().unionByName(edges)
@@ -401,7 +407,10 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     one stays, the least by text; documents without words, and rows with a null doc_id, stay."""
     found = keep(similar_documents(docs), "similar")
     losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    losers = F.broadcast(losers) if losers.count() <= MAX_BROADCAST_ROWS else losers  # beyond, the texts shuffle once
+    rest = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
     twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    rest = docs.join(losers, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return rest
     one = rest.join(twice, "doc_id", "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__r = 1").drop("__r")
     return rest.join(twice, "doc_id", "left_anti").unionByName(one.select(rest.columns)).select(docs.columns)

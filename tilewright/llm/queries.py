@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import byte_bpe, impact_topk, mixing, multiset_hash, parity_join, pu_quality, secrets, token_frames, url_lm, warc_audit
 from tilewright.llm.oracles import ORACLE_SQL  # noqa: F401  the driver reads it here
+from tilewright.llm.shared import texts_in_small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("documents", "pages"):
+        texts_in_small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import keep
+from tilewright.llm.shared import TEXT_ROWS, batch_rows, keep
 
 #: The kinds in their order, and the base patterns.
 KINDS = ["assign", "access", "hex", "owned"]
@@ -76,7 +76,8 @@ def _scan(batches):
 def scan(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     """One row per document row with its spans; written once, so that row_id is stable and texts are read once."""
     narrow = docs.select(F.col("doc_id").cast("long"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), F.col("text").cast("string"))
-    return keep(narrow.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(_scan, SCAN), "secret-scan")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        return keep(narrow.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(_scan, SCAN), "secret-scan")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,27 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of whole texts; Spark's default suits rows of a few numbers.
+TEXT_ROWS = 1000
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Within it, actions send batches of so many rows to Python."""
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS, before)
+
+
+def texts_in_small_batches(spark: SparkSession) -> None:
+    """For results that are computed later, by whoever writes them: from here on the session sends texts in small batches."""
+    spark.conf.set(ROWS, str(TEXT_ROWS))
+
+
 def filesystem(uri: str):
     """(file system, path) of a shared-folder URI, for code on executors that writes binary files."""
     from pyarrow import fs
