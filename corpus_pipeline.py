@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm import byte_bpe, mixing, parity_join, pu_quality, secrets
-from tilewright.llm.shared import keep
+from tilewright.llm.shared import keep, texts_in_small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the classifier rejects go."""
+    texts_in_small_batches(spark)
     model = pu_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return pu_quality.keep_quality(docs, model)
 
@@ -22,6 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: secrets are replaced by their kind."""
+    texts_in_small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
@@ -32,6 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: doc_id, n_tokens, token_ids."""
+    texts_in_small_batches(spark)
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
