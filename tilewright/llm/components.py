@@ -32,12 +32,11 @@ def _mark(e: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """links (a long, b long), no nulls -> (node, root) for every node but roots: root is the least node reachable."""
     e = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = keep(e, "links")
-    mark = _mark(e)
-    while mark[0]:
+    mark = None
+    while True:
         e = keep(_small(_large(e)), "links")
         now = _mark(e)
-        if now == mark:
+        if now == mark or not now[0]:
             break
         mark = now
     return e.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -250,7 +250,7 @@ def sieved(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 #: A cell of rows that holds more possible pairs than this times its rows first tries only the closest of each row.
-MANY = 4
+MANY = 32
 
 
 def _cell_pairs(node, root, side, n, sketch, one: bool, every: bool) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -355,7 +355,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     known = profile.where("n_shingles > 0 and doc_id is not null")
 
     # Documents of equal sets hang on the least of them.
-    least = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    least = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    least = keep(least, "equal-sets")  # read again, it is broadcast where small, and else the join can split a hot set
     equal = known.select("doc_id", "h1", "h2").join(least, ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     equal = keep(equal, "equal")
     reps = equal.groupBy("b").agg(F.min("a").alias("rep"))  # a doc_id may repeat
