@@ -95,7 +95,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id") ->
     out = F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
     rows = rows.withColumns({"rule": rule, "said": said, "lm": F.coalesce(after_scheme(F.col("url")), F.col("url"), F.lit("")), "row_id": F.monotonically_increasing_id()})
     rows = keep(rows.withColumn("side", F.when(F.col("said").isNull() | out, F.lit(None)).when(F.col("said") == "allow", 1).otherwise(0).cast("int")).withColumn("apart", out & F.col("said").isNotNull()), "urls")
-    sums = _grams(rows, ["row_id"]).join(gram_scores(rows), "g").groupBy("row_id").agg(F.sum("ratio").alias("total"))
+    ratios = keep(gram_scores(rows), "gram-ratios")  # read again, it is broadcast where small, and else the join can split a hot gram
+    sums = _grams(rows, ["row_id"]).join(ratios, "g").groupBy("row_id").agg(F.sum("ratio").alias("total"))
     scored = rows.join(sums, "row_id", "left").withColumn("score", F.round(F.coalesce(F.col("total") / F.length("lm"), F.lit(0.0)), 6))
     scored = keep(scored.drop("total"), "scored-urls")
     threshold = calibrated(scored)
