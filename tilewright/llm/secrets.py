@@ -91,7 +91,8 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def judged_spans(scanned: DataFrame, max_owners: int = 1) -> DataFrame:
     """One row per span: row_id, doc_id, kind, start, end, value, n_owners, n_repos, verdict (live or example)."""
     rows = scanned.where("size(spans) > 0").select("row_id", "doc_id", F.inline("spans"))
-    return rows.join(ownership(scanned), "value").withColumn("verdict", F.when(F.col("n_owners") <= max_owners, "live").otherwise("example"))
+    held = keep(ownership(scanned), "ownership")  # read again, so that the join can split a hot value
+    return rows.join(held, "value").withColumn("verdict", F.when(F.col("n_owners") <= max_owners, "live").otherwise("example"))
 
 
 def find_secrets(docs: DataFrame, owner: Column | None = None, repo: Column | None = None, max_owners: int = 1) -> DataFrame:
