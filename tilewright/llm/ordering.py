@@ -32,3 +32,13 @@ def bucket(id_col: Column, bounds: list[int]) -> Column:
         lambda low, step: F.when((low + step <= n) & (F.get(cuts, F.least(low + step, F.lit(n)) - 1) <= id_col), low + step).otherwise(low),
     )
     return F.coalesce(walk, F.lit(0))
+
+
+def ranges_of(df: DataFrame, id_col: str, spread: list[Column], rows: int) -> tuple[Column, int]:
+    """(part, number of parts): ranges of rising ids with about so many rows each at most, as many as tasks at least. Rows
+    without an id come first; they are dealt by a hash of ``spread``, so that however many they are, none is large."""
+    n, ids = df.agg(F.count(F.lit(1)), F.count(id_col)).first()
+    bounds = id_bounds(df, id_col, max(pieces(df.sparkSession), -(-ids // rows)))
+    first = max(1, -(-(n - ids) // rows))
+    part = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(*spread), F.lit(first))).otherwise(bucket(F.col(id_col), bounds) + first)
+    return part.cast("int"), first + len(bounds) + 1

@@ -44,25 +44,44 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of an Arrow batch of whole texts; Spark's default suits rows of a few numbers.
-TEXT_ROWS = 1000
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``keep`` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path.startswith(shared_dir(spark)) or path.startswith(re.sub("^file:/*", "file:///", shared_dir(spark))):
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the case of letters."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch, on both sides of the pipe to a Python worker; a longer row is a batch of its own. Spark's
+#: default of 64 MB, several times over in each of two workers, would fill a small executor.
+BATCH_BYTES = 4 << 20
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int):
-    """Within it, actions send batches of so many rows to Python."""
-    before = spark.conf.get(ROWS)
-    spark.conf.set(ROWS, str(rows))
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """Within it, actions send batches of about so many bytes to Python."""
+    before = spark.conf.get(BYTES)
+    spark.conf.set(BYTES, str(size))
     try:
         yield
     finally:
-        spark.conf.set(ROWS, before)
+        spark.conf.set(BYTES, before)
 
 
-def texts_in_small_batches(spark: SparkSession) -> None:
-    """For results that are computed later, by whoever writes them: from here on the session sends texts in small batches."""
-    spark.conf.set(ROWS, str(TEXT_ROWS))
+def use_small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """For results that are computed later, by whoever writes them: the session goes on with small batches. No result depends on it."""
+    spark.conf.set(BYTES, str(size))
 
 
 def filesystem(uri: str):
@@ -76,14 +95,15 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def publish(uri: str, write) -> None:
-    """Write a file under a name of this attempt, then move it into place: retries and speculative copies of a
-    task leave one whole file, whichever ends last. ``write(stream)`` must be deterministic."""
+@contextmanager
+def publishing(uri: str):
+    """A stream to a file under a name of this attempt, moved into place at the end: retries and speculative copies of a
+    task leave one whole file, whichever ends last. What is written must be deterministic."""
     files, path = filesystem(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     mine = f"{path}.{uuid.uuid4().hex}.part"
     with files.open_output_stream(mine) as out:
-        write(out)
+        yield out
     files.move(mine, path)
 
 
