@@ -119,3 +119,36 @@ def class_legend(counts: DataFrame, names: DataFrame, colours: int = 8) -> DataF
     n = F.coalesce("pixels", F.lit(0))
     share = F.try_divide(n, F.sum(n).over(Window.partitionBy()))  # as many rows as classes
     return both.select("class_id", F.coalesce("name", F.concat(F.lit("class "), F.col("class_id").cast("string"))).alias("name"), n.cast("long").alias("pixels"), share.alias("ratio"), F.pmod("class_id", F.lit(colours)).cast("int").alias("palette_index"))
+
+
+def slide_dimensions(summary: DataFrame, rows: DataFrame, by: str = "slide_id") -> DataFrame:
+    """slide_width, slide_height of each slide in ``rows``: the summary's if it has both, else the first that the rows (in order of ``position``) have of
+    each, if they have both, else how far their tiles reach, 1 at least. 0 counts as missing."""
+    real = lambda c: F.nullif(F.col(c).cast("double"), F.lit(0.0))
+    first = lambda c: F.min_by(real(c), F.when(real(c).isNotNull(), F.col("position")))
+    reach = lambda c: F.greatest(F.lit(1.0), F.max(F.col(c) + F.coalesce("patch_size", F.lit(0)))).cast("double")
+    seen = rows.groupBy(by).agg(first("slide_width").alias("w1"), first("slide_height").alias("h1"), reach("x_level0").alias("w2"), reach("y_level0").alias("h2"))
+    both = seen.join(summary.select(by, real("slide_width").alias("w0"), real("slide_height").alias("h0")), by, "left")
+    known, told = F.col("w0").isNotNull() & F.col("h0").isNotNull(), F.col("w1").isNotNull() & F.col("h1").isNotNull()
+    pick = lambda a, b, c: F.when(known, F.col(a)).when(told, F.col(b)).otherwise(F.col(c))
+    return both.select(by, pick("w0", "w1", "w2").alias("slide_width"), pick("h0", "h1", "h2").alias("slide_height"))
+
+
+def input_validation_counts(rows: DataFrame) -> DataFrame:
+    """Ten counters over rows whose validation has a status; cells are text, true or false."""
+    checked = rows.where("coalesce(input_validation_status, '') <> ''")
+    true = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).isin("true", "1", "yes")
+    false = lambda c: F.col(c) == "false"
+    counters = {
+        "num_rows_with_input_validation": F.lit(True),
+        "num_rgb_converted": true("converted_to_rgb"),
+        "num_input_shape_matches": true("input_shape_matches_model"),
+        "num_input_shape_mismatches": false("input_shape_matches_model"),
+        "num_uint8_inputs": true("is_uint8"),
+        "num_valid_range_inputs": true("range_looks_valid"),
+        "num_mpp_available": true("mpp_available"),
+        "num_mpp_unavailable": false("mpp_available"),
+        "num_mpp_within_tolerance": true("mpp_within_tolerance"),
+        "num_mpp_outside_tolerance": (F.col("mpp_available") == "true") & false("mpp_within_tolerance"),
+    }
+    return checked.agg(*[F.count_if(test).alias(name) for name, test in counters.items()])

@@ -89,25 +89,34 @@ def cluster_entropy(df: DataFrame, key: str, cluster: str = "cluster_id") -> Dat
     return e.select(key, "clusters_covered", (F.col("h") / F.when(F.col("clusters_covered") > 1, F.log2(F.col("clusters_covered"))).otherwise(1.0)).alias("cluster_entropy"))
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(size <= 1e-12, 1.0, size)
+
+
+def farthest_first(unit: np.ndarray, k: int, first: int) -> np.ndarray:
+    """Places of k rows: each is, of the rows not taken, the one least like its likest taken row."""
+    likest, taken = np.full(len(unit), -np.inf), np.zeros(0, int)
+    for _ in range(k):
+        taken = np.append(taken, first)
+        likest = np.maximum(likest, unit @ unit[first])
+        likest[taken] = np.inf
+        first = int(np.argmin(likest))
+    return taken
+
+
 def kmeans_small(vectors: np.ndarray, k: int, seed: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Cosine k-means of a pool that fits one task: a seeded first centre, then the row farthest from all centres; an
-    empty cluster keeps its centre. Returns labels and unit centres."""
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) <= 1e-12, 1.0, n)
-    v = unit(np.asarray(vectors, float))
-    k = min(k, len(v))
-    picked = [int(np.random.default_rng(seed).integers(0, len(v)))]
-    least = 1 - v @ v[picked[0]]
-    while len(picked) < k:
-        far = int(np.argmax(least))
-        if far in picked:
-            far = next(i for i in range(len(v)) if i not in picked)
-        picked.append(far)
-        least = np.minimum(least, 1 - v @ v[far])
-    c = v[picked].copy()
+    """Cosine k-means of a pool that fits one task, from a seeded row and those farthest from it; sums of members by a product with their
+    membership. An empty cluster keeps its centre. Returns labels and unit centres."""
+    unit = _unit(np.asarray(vectors, float))
+    k = min(k, len(unit))
+    centres = unit[farthest_first(unit, k, int(np.random.default_rng(seed).integers(0, len(unit))))]
     for _ in range(rounds):
-        label = np.argmin(1 - v @ c.T, axis=1)
-        c = unit(np.stack([v[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)]))
-    return label, c
+        label = np.argmax(unit @ centres.T, axis=1)
+        member = label == np.arange(k)[:, None]
+        n = member.sum(1, keepdims=True)
+        centres = np.where(n > 0, _unit(member @ unit / np.maximum(n, 1)), centres)
+    return label, centres
 
 
 def kmeans_per_group(df: DataFrame, k: int, seed: int, by: str) -> DataFrame:
@@ -175,3 +184,20 @@ def cache_fault(cache: DataFrame, ids: DataFrame, meta: dict, expected: dict, di
     if bad["ids"]:
         return "candidate ids differ"
     return "vectors have another dimension" if bad["dim"] else None
+
+
+def distance_checks(df: DataFrame, key: str, i: str, tolerance: float = 2e-6) -> DataFrame:
+    """Whether each group's cosine distances make sense: two vectors at least, all finite, none null; and over all pairs of the group, itself
+    included: symmetric, zero on the diagonal, within 0 and 2. Groups are selections, a few rows each."""
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = with_unit_vectors(df.withColumns({"finite": finite, "null_vector": F.coalesce(norm(F.col("embedding")) <= 1e-12, F.lit(True))}))
+    group = rows.groupBy(key).agg((F.count(F.lit(1)) >= 2).alias("enough"), F.bool_and("finite").alias("all_finite"), (F.count_if("null_vector") == 0).alias("no_null_vector"))
+    side = lambda n: rows.select(key, F.col(i).alias(f"i{n}"), F.col("unit").alias(f"u{n}"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    pairs = side(1).join(side(2), key).select(key, "i1", "i2", (1 - dot("u1", "u2")).alias("d"), (1 - dot("u2", "u1")).alias("e"))
+    sane = pairs.groupBy(key).agg(
+        F.bool_and(F.abs(F.col("d") - F.col("e")) <= tolerance).alias("symmetric"),
+        F.bool_and((F.col("i1") != F.col("i2")) | (F.abs("d") <= tolerance)).alias("diagonal_zero"),
+        F.bool_and(~F.isnan("d") & F.col("d").between(-tolerance, 2 + tolerance)).alias("bounds_valid"),
+    )
+    return group.join(sane, key)

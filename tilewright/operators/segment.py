@@ -13,13 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-class SlideReader(Protocol):
-    """Reads a level-0 box of a slide as (h, w, 3) bytes; called with boxes inside the slide only."""
-
-    def size(self, slide_id: int) -> tuple[int, int]: ...
-
-    def read(self, slide_id: int, x: int, y: int, w: int, h: int) -> np.ndarray: ...
+from tilewright.sources.slides import SlideReader, read_padded
 
 
 class Segmenter(Protocol):
@@ -62,16 +56,6 @@ class BrightnessSegmenter:
         return odds / odds.sum(-1, keepdims=True)
 
 
-def read_padded(reader: SlideReader, slide_id: int, x: int, y: int, w: int, h: int) -> np.ndarray:
-    """A box that may reach beyond the slide; what is outside is white."""
-    width, height = reader.size(slide_id)
-    out = np.full((h, w, 3), 255, np.uint8)
-    x0, y0, x1, y1 = max(0, x), max(0, y), min(width, x + w), min(height, y + h)
-    if x1 > x0 and y1 > y0:
-        out[y0 - y : y1 - y, x0 - x : x1 - x] = reader.read(slide_id, x0, y0, x1 - x0, y1 - y0)
-    return out
-
-
 def label_mask(prediction: np.ndarray, most_classes: int = 32) -> np.ndarray:
     """A label mask of two dimensions: single axes dropped, a class axis (first or last, few long) reduced by argmax."""
     p = np.squeeze(np.asarray(prediction))

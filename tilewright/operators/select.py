@@ -227,6 +227,20 @@ def uniform(df: DataFrame, k: int, seed: int = 42, by: str = "slide_id") -> Data
     return cols.groupBy(by).applyInPandas(kernel, f"{by} long, candidate_id string, x_level0 long, y_level0 long, rank int")
 
 
+def seeded_sample(df: DataFrame, cap: int, seed: int = 42, by: str = "slide_id") -> DataFrame:
+    """The first cap rows of each slide's pool after a seeded shuffle (CPython's order), in order of candidate_id before it; 0 keeps all. Only ids
+    meet in a task, a slide's."""
+    if cap <= 0:
+        return df
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("candidate_id", kind="stable")
+        return g[np.array(shuffled_rank(seed, len(g))) < cap]
+
+    ids = df.select(by, "candidate_id")
+    return df.join(ids.groupBy(by).applyInPandas(kernel, ids.schema), [by, "candidate_id"], "left_semi")
+
+
 def sample_by_hash(df: DataFrame, cap: int, seed: int = 42, by: str = "slide_id") -> DataFrame:
     """At most cap rows a slide by a seeded hash: the sample for pools too large to shuffle in one place; 0 keeps all."""
     if cap <= 0:

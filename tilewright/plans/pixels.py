@@ -90,11 +90,11 @@ def pixel_laplacian(spark, d):
 @query(oracle(f"""also q as (select *, least(15, cast(floor(grey*16) as integer)) as lv, bool_or(tissue) over (partition by tile_id) as has_tissue from fx_px),
 pr as (select tile_id, dir, abs(lv - nv) as dist from (select tile_id, 'r' as dir, lv, has_tissue, tissue, lead(lv) over r as nv, lead(tissue) over r as nt from q window r as (partition by tile_id, y order by x)
  union all select tile_id, 'd', lv, has_tissue, tissue, lead(lv) over c, lead(tissue) over c from q window c as (partition by tile_id, x order by y)) where nv is not null and ((tissue and nt) or not has_tissue))
-select tile_id, {r6(clip('4*avg(c)') + ' + 3e-8')} as glcm_contrast_proxy, {r6(clip('avg(h)') + ' + 3e-8')} as glcm_homogeneity_proxy from (select tile_id, dir, avg((dist/15.0)*(dist/15.0)) as c, avg(1.0/(1+dist)) as h from pr group by 1, 2) group by 1""", "fx_px"))
+select tile_id, round({clip('4*avg(c)')}, 9) as glcm_contrast_proxy, round({clip('avg(h)')}, 9) as glcm_homogeneity_proxy from (select tile_id, dir, avg((dist/15.0)*(dist/15.0)) as c, avg(1.0/(1+dist)) as h from pr group by 1, 2) group by 1""", "fx_px"))
 def pixel_glcm(spark, d):
-    # means of simple fractions may lie on a rounding tie: both sides are moved off it
+    # nine decimals: of the means' denominators none has a tie there
     f = raster.with_features(fx.tiles(spark, d))
-    return f.select("tile_id", *[F.round(F.col(c) + 3e-8, 6).alias(c) for c in ("glcm_contrast_proxy", "glcm_homogeneity_proxy")])
+    return f.select("tile_id", *[F.round(c, 9).alias(c) for c in ("glcm_contrast_proxy", "glcm_homogeneity_proxy")])
 
 
 @query(oracle(f"select tile_id, {r6('v')} as border_background_ratio, {r6(clip('greatest(0, v - 0.30)/0.70'))} as border_tissue_penalty from (select tile_id, avg((not tissue)::int::double) as v from fx_px where y in (0, 7) or x in (0, 7) group by 1)", "fx_px"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.plans import pixels, runs, selection
+from tilewright.plans import pixels, runs, scans, selection
 
-QUERIES = {**selection.QUERIES, **pixels.QUERIES, **runs.QUERIES}
-ORACLES = {**selection.ORACLES, **pixels.ORACLES, **runs.ORACLES}
+QUERIES = {**selection.QUERIES, **pixels.QUERIES, **runs.QUERIES, **scans.QUERIES}
+ORACLES = {**selection.ORACLES, **pixels.ORACLES, **runs.ORACLES, **scans.ORACLES}

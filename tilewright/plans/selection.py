@@ -128,7 +128,7 @@ def candidates_filtered(spark, d):
 (select tile_id, level, sum(n) over (partition by tile_id order by level)::double as w0, sum(n*level) over (partition by tile_id order by level)::double as s0, sum(n) over (partition by tile_id)::double as w, sum(n*level) over (partition by tile_id)::double as s from
 (select tile_id, cast(floor((299*r + 587*g + 114*b)/1000) as bigint) as level, count(*) as n from fx_pixels group by 1, 2))) group by tile_id""", "fx_pixels"))
 def otsu_threshold(spark, d):
-    z = fx.tiles(spark, d).select("tile_id", F.explode(F.arrays_zip("r", "g", "b")).alias("z"))
+    z = fx.tile_planes(spark, d).select("tile_id", F.explode(F.arrays_zip("r", "g", "b")).alias("z"))
     level = F.floor((F.col("z.r") * 299 + F.col("z.g") * 587 + F.col("z.b") * 114) / 1000)
     return grid.otsu(z.groupBy("tile_id", level.alias("level")).agg(F.count(F.lit(1)).alias("n")), "tile_id")
 

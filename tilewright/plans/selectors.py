@@ -12,8 +12,9 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.functions import score
+from tilewright.functions import raster, score
 from tilewright.operators import gates, select
+from tilewright.sources import slides as slides_source
 
 QUALITY_FIELDS = [*select.SMART_FIELDS, "cellularity_proxy_score", "technical_quality_score", "residual_candidate_proxy", "low_cellularity_treated_bed_proxy", "tumor_bed_relevance_proxy"]
 MEDICAL_FIELDS = ["medical_image_quality_score", "medical_image_utility_score", "medical_texture_score", "medical_pseudo_cellularity_score"]
@@ -21,7 +22,8 @@ MEDICAL_FIELDS = ["medical_image_quality_score", "medical_image_utility_score",
 
 @dataclass(frozen=True)
 class Config:
-    """What a selector is run with. ``cap`` bounds the candidates scored on a slide (0: all)."""
+    """What a selector is run with. ``cap`` bounds the candidates scored on a slide (0: all), drawn by a ``seeded`` shuffle of the slide's
+    pool in CPython's order, or by ``hash`` where a slide's ids are too many for one task."""
 
     k: int = 16
     seed: int = 42
@@ -37,8 +39,11 @@ class Config:
     similarity: float = 0.0
     cluster: float = 0.0
     representative: float = 0.0
+    sampling: str = "seeded"
 
     def __post_init__(self):
+        if self.sampling not in ("seeded", "hash"):
+            raise ValueError("sampling is seeded or hash")
         if self.k <= 0 or self.cap < 0 or self.scale <= 0:
             raise ValueError("k and scale must be positive, cap not negative")
         if not 0 <= self.quantile <= 1 or not 0 <= self.min_quality <= 1:
@@ -69,7 +74,7 @@ DEFAULTS = {
 
 def sampled(pool: DataFrame, c: Config) -> DataFrame:
     """The candidates to score: sampled before features and normalisation, which run over scored rows only."""
-    return select.sample_by_hash(pool, c.cap, c.seed)
+    return (select.seeded_sample if c.sampling == "seeded" else select.sample_by_hash)(pool, c.cap, c.seed)
 
 
 def regioned(df: DataFrame, slides: DataFrame, c: Config) -> DataFrame:
@@ -113,8 +118,10 @@ def embed_quota(pool: DataFrame, slides: DataFrame, embeddings: DataFrame | None
 
 
 def gated_embed(pool: DataFrame, slides: DataFrame, embeddings: DataFrame | None, c: Config) -> DataFrame:
-    """Needs the composite scores of the raster features in the pool; where they are missing, stand-ins from the proxies."""
+    """Composite scores come with the pool, or are worked out from its raster features; a pool with neither has stand-ins from the proxies."""
     q = score.quality_scores(sampled(pool, c)).withColumn("score_v3_base", F.col("score_raw"))
+    if set(raster.RASTER_FEATURES) <= set(q.columns) and not set(score.COMPOSITE_WEIGHTS) & set(q.columns):
+        q = score.composite_scores(q)
     stand_ins = {
         "medical_image_quality_score": F.col("technical_quality_score"),
         "medical_image_utility_score": F.col("tumor_bed_relevance_proxy"),
@@ -130,6 +137,25 @@ def gated_embed(pool: DataFrame, slides: DataFrame, embeddings: DataFrame | None
     return select.pick(q, c.terms(round_robin=True, fill=True, fields=(*QUALITY_FIELDS, *MEDICAL_FIELDS)), vectors="embedding")
 
 
+#: Ways to measure nuclear signal, and their labels in manifests.
+NUCLEAR = {"hed": "stain unmixing, 90th percentile and mean", "rgb": "excess of red and blue over green"}
+
+
+def with_pixels(pool: DataFrame, make_reader, size: int | None = None, nuclear: str = "hed") -> DataFrame:
+    """The pool with its features measured on the pixels of its tiles: those that are given go, 34 of the raster pass come."""
+    if nuclear not in NUCLEAR:
+        raise ValueError(f"nuclear signal is measured by {' or '.join(NUCLEAR)}")
+    bare = pool.drop(*raster.ALL_FEATURES, "nuclear_signal", "nuclear_proxy")
+    rows = raster.with_features(slides_source.scan_regions(bare, make_reader, size=size))
+    return rows.withColumns({"nuclear_signal": F.col(f"nuclear_signal_{nuclear}"), "nuclear_proxy": F.lit(nuclear)})
+
+
+def gated_from_slides(pool: DataFrame, slides: DataFrame, embeddings: DataFrame | None, make_reader, size: int | None = 512, nuclear: str = "hed", **changes) -> DataFrame:
+    """``gated_embed`` from the slides themselves: candidates are sampled first, then read, measured and scored, and each is read once."""
+    c = replace(DEFAULTS["gated_embed"], **changes)
+    return gated_embed(with_pixels(sampled(pool, c), make_reader, size, nuclear), slides, embeddings, replace(c, cap=0))
+
+
 SELECTORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame | None, Config], DataFrame]] = {
     "uniform": uniform,
     "greedy_spatial": greedy_spatial,

@@ -78,10 +78,15 @@ def _scaled(v: str, levels: int, most: int):
     return F.transform(v, lambda x: F.least(F.lit(most), F.greatest(F.lit(0), F.floor((x - LOW) / SPAN * levels))).cast("int"))
 
 
+def tile_planes(spark: SparkSession, d: str) -> DataFrame:
+    """8 x 8 RGB tiles: tile_id, r, g, b (arrays in row order)."""
+    return _stacked(spark, d, 3, "tile_id").select("tile_id", *[_scaled(f"v{i}", 255, 255).alias(c) for i, c in enumerate("rgb")])
+
+
 def tiles(spark: SparkSession, d: str) -> DataFrame:
-    """8 x 8 RGB tiles: tile_id, h, w, r, g, b (arrays in row order)."""
-    t = _stacked(spark, d, 3, "tile_id")
-    return t.select("tile_id", F.lit(8).alias("h"), F.lit(8).alias("w"), _scaled("v0", 255, 255).alias("r"), _scaled("v1", 255, 255).alias("g"), _scaled("v2", 255, 255).alias("b"))
+    """8 x 8 RGB tiles: tile_id, h, w, rgb (bytes in row order)."""
+    pixels = F.transform(F.arrays_zip("r", "g", "b"), lambda z: F.format_string("%02X%02X%02X", z["r"], z["g"], z["b"]))
+    return tile_planes(spark, d).select("tile_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(F.array_join(pixels, "")).alias("rgb"))
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
