@@ -88,29 +88,30 @@ class Picks:
         self.held = np.zeros(int(self.cluster.max()) + 1 if n else 1)
         self.count = 0
 
-    def parts(self) -> dict[str, np.ndarray]:
-        n, some = len(self.base), self.count > 0
-        zero = np.zeros(n)
-        apart = self.apart if some and self.features.shape[1] else zero
-        balance = 1.0 / (1.0 + self.held[self.cluster])
-        alike = np.clip(self.alike, -1.0, 1.0)
+    def parts(self, rows: np.ndarray | slice = slice(None)) -> dict[str, np.ndarray]:
+        """The terms of these rows."""
+        some, near = self.count > 0, self.near[rows]
+        zero = np.zeros(len(near))
+        apart = self.apart[rows] if some and self.features.shape[1] else zero
+        balance = 1.0 / (1.0 + self.held[self.cluster[rows]])
+        alike = np.clip(self.alike[rows], -1.0, 1.0)
         novel = np.clip(1.0 - alike, 0.0, 2.0) if some and self.vectors is not None else zero
         return {
-            "spatial_penalty": self.near if some else zero,
+            "spatial_penalty": near if some else zero,
             "feature_diversity_bonus": apart,
             "redundancy_penalty": 1.0 - np.minimum(1.0, apart) if some else zero,
             "embedding_diversity_bonus": novel,
             "embedding_redundancy_penalty": np.maximum(0.0, alike) if some and self.vectors is not None else zero,
             "cluster_balance": balance,
-            "morphology_diversity_score": np.clip(0.45 * novel + 0.30 * balance + 0.25 * self.rep, 0.0, 1.0),
+            "morphology_diversity_score": np.clip(0.45 * novel + 0.30 * balance + 0.25 * self.rep[rows], 0.0, 1.0),
         }
 
-    def score(self, p: dict[str, np.ndarray]) -> np.ndarray:
+    def score(self, p: dict[str, np.ndarray], rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         t = self.terms
-        s = self.base - t.spatial * p["spatial_penalty"]
+        s = self.base[rows] - t.spatial * p["spatial_penalty"]
         s = s - t.redundancy * p["redundancy_penalty"] + t.diversity * p["feature_diversity_bonus"]
         s = s + t.embedding * p["embedding_diversity_bonus"] - t.similarity * p["embedding_redundancy_penalty"]
-        return s + t.cluster * p["cluster_balance"] + t.representative * self.rep
+        return s + t.cluster * p["cluster_balance"] + t.representative * self.rep[rows]
 
     def add(self, i: int) -> None:
         away = np.sqrt((self.x - self.x[i]) ** 2 + (self.y - self.y[i]) ** 2)
@@ -133,19 +134,21 @@ def run_picks(ids: np.ndarray, eligible: np.ndarray, reserve: np.ndarray, region
         rows = order[among[order]]
         if not len(rows):
             return False
-        p = picks.parts()
-        s = picks.score(p)
-        i = int(rows[np.argmax(s[rows])])
-        out.append((i, float(s[i]), {k: float(v[i]) for k, v in p.items()}))
+        p = picks.parts(rows)  # of the region in turn alone
+        s = picks.score(p, rows)
+        best = int(np.argmax(s))
+        i = int(rows[best])
+        out.append((i, float(s[best]), {k: float(v[best]) for k, v in p.items()}))
         picks.add(i)
         open_[i] = False
         return True
 
     if t.round_robin:
         names = sorted(set(regions[open_].tolist()))
+        members = [regions == name for name in names]
         turn, idle = 0, 0
         while names and len(out) < t.k and idle < len(names):
-            idle = 0 if take(open_ & (regions == names[turn % len(names)])) else idle + 1
+            idle = 0 if take(open_ & members[turn % len(names)]) else idle + 1
             turn += 1
         if not t.fill:
             return out
