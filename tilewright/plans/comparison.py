@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators import compare, stats
+from tilewright.functions.parse import relative_delta
+from tilewright.operators import compare, embed, stats
+
+#: The metrics of a comparison in order, and whether more is better (None: only described).
+COUNT_METRICS = ["num_candidates_generated", "num_thumbnail_candidates_passing_mask", "num_candidate_rows_written", "num_candidates_evaluated", "num_candidates_scored", "num_selected", "regions_covered", "active_regions"]
+QUOTA_METRICS = ["quota_fill_rate", "mean_feature_diversity_bonus_selected"]
+FIELD_METRICS = ["nuclear_proxy", "spatial_strategy", "diversity_strategy"]
+OVERLAP_METRICS = ["num_overlap_selected", "overlap_ratio_baseline", "overlap_ratio_smart", "jaccard_selected"]
+RECOMPUTED = ["tissue_ratio", "nuclear_signal", "nuclear_signal_rgb", "nuclear_signal_hed", "visual_entropy", "blur_score", "artifact_penalty"]
+SPATIAL_METRICS = ["mean_pairwise_distance", "median_pairwise_distance", "min_pairwise_distance", "mean_nearest_neighbor_distance", "median_nearest_neighbor_distance", "min_nearest_neighbor_distance", "spatial_bbox_area", "spatial_coverage_ratio_approx"]
+MEDICAL = ["medical_image_quality_score", "medical_image_utility_score", "medical_artifact_penalty", "medical_texture_score", "medical_pseudo_cellularity_score"]
+CLUSTER_METRICS = ["num_embedding_clusters_covered", "selected_cluster_entropy"]
+EMBEDDING_METRICS = ["mean_pairwise_embedding_distance", "median_pairwise_embedding_distance", "min_pairwise_embedding_distance"]
+METRICS: list[tuple[str, bool | None]] = [
+    *[(m, None) for m in COUNT_METRICS],
+    ("runtime_seconds", False),
+    *[(m, True) for m in QUOTA_METRICS],
+    *[(m, None) for m in (*FIELD_METRICS, *OVERLAP_METRICS)],
+    *[(f"mean_{f}_recomputed", f != "artifact_penalty") for f in RECOMPUTED],
+    *[(f"median_{f}_recomputed", True) for f in ("nuclear_signal_rgb", "nuclear_signal_hed")],
+    *[(m, True) for m in SPATIAL_METRICS],
+    *[(f"mean_{f}", f != "medical_artifact_penalty") for f in MEDICAL],
+    *[(m, True) for m in (*CLUSTER_METRICS, *EMBEDDING_METRICS)],
+]
 
 SHARED_FIELDS = ["patch_size", "stride", "min_mask_ratio", "slide_width", "slide_height", "mpp_x", "mpp_y", "level_count", "k", "seed"]
 
@@ -32,6 +55,51 @@ def selections(first: DataFrame, second: DataFrame, pool: DataFrame, configs: tu
     }
 
 
+def selection_metrics(first: DataFrame, second: DataFrame, slides: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """slide_id, method, metric, value (text) of two selections with their measured features and whatever else they have (rank, cluster_id,
+    unit vectors, composite scores); ``summaries`` (slide_id, method, metric, value) adds what runs recorded, and goes before."""
+    key = ["method", "slide_id"]
+    both = first.withColumn("method", F.lit("baseline")).unionByName(second.withColumn("method", F.lit("smart")))
+    there = set(both.columns)
+    means = [F.avg(f).alias(f"mean_{f}_recomputed") for f in RECOMPUTED if f in there] + [F.percentile(f, F.lit(0.5)).alias(f"median_{f}_recomputed") for f in ("nuclear_signal_rgb", "nuclear_signal_hed") if f in there]
+    means += [F.avg(f).alias(f"mean_{f}") for f in MEDICAL if f in there]
+    wide = both.groupBy(*key).agg(F.count(F.lit(1)).alias("num_selected"), *means)
+    names = {"pair_mean": "mean_pairwise_distance", "pair_median": "median_pairwise_distance", "pair_min": "min_pairwise_distance", "nn_mean": "mean_nearest_neighbor_distance", "nn_median": "median_nearest_neighbor_distance", "nn_min": "min_nearest_neighbor_distance", "bbox_area": "spatial_bbox_area"}
+    spatial = compare.spatial_metrics(both, key).drop("n").withColumnsRenamed(names)
+    wide = wide.join(spatial, key, "left").join(slides.select("slide_id", (F.col("slide_width") * F.col("slide_height")).alias("area")), "slide_id", "left")
+    wide = wide.withColumn("spatial_coverage_ratio_approx", F.try_divide("spatial_bbox_area", "area")).drop("area")
+    shared = compare.overlap(compare.overlap_rows(first, second, ["slide_id", "candidate_id"]), ["slide_id"])
+    shared = shared.select("slide_id", F.col("both").alias("num_overlap_selected"), F.col("ratio_baseline").alias("overlap_ratio_baseline"), F.col("ratio_smart").alias("overlap_ratio_smart"), F.col("jaccard").alias("jaccard_selected"))
+    wide = wide.join(shared, "slide_id", "left")
+    if "cluster_id" in there:
+        e = embed.cluster_entropy(both.withColumn("run", F.struct(*key)), "run").select(F.col("run.method").alias("method"), F.col("run.slide_id").alias("slide_id"), F.col("clusters_covered").alias("num_embedding_clusters_covered"), F.col("cluster_entropy").alias("selected_cluster_entropy"))
+        wide = wide.join(e, key, "left")
+    if "unit" in there:
+        p = embed.cosine_pairs(both.withColumn("run", F.concat_ws(":", *key)), "run", "candidate_id").groupBy("run").agg(F.avg("distance").alias(EMBEDDING_METRICS[0]), F.percentile("distance", F.lit(0.5)).alias(EMBEDDING_METRICS[1]), F.min("distance").alias(EMBEDDING_METRICS[2]))
+        wide = wide.withColumn("run", F.concat_ws(":", *key)).join(p, "run", "left").drop("run")
+    found = [c for c in wide.columns if c not in key]
+    pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in found)
+    rows = wide.selectExpr("slide_id", "method", f"stack({len(found)}, {pairs}) as (metric, value)")
+    if summaries is None:
+        return rows
+    own = summaries.select("slide_id", "method", "metric", F.col("value").cast("string").alias("value"))
+    return own.unionByName(rows.join(own.select("slide_id", "method", "metric"), ["slide_id", "method", "metric"], "left_anti"))
+
+
+def metric_table(values: DataFrame) -> DataFrame:
+    """The 45 metrics of each slide in order, from (slide_id, method, metric, value): both values as text, and for numbers the difference,
+    the relative difference, and which side is better; a metric that neither side has is ``missing``."""
+    spec = values.sparkSession.createDataFrame([(i, m, up) for i, (m, up) in enumerate(METRICS)], "position int, metric string, higher_is_better boolean")
+    p = values.groupBy("slide_id", "metric").pivot("method", ["baseline", "smart"]).agg(F.first("value", ignorenulls=True))
+    every = values.select("slide_id").distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m, _ in METRICS])))
+    rows = every.join(F.broadcast(spec), "metric").join(p, ["slide_id", "metric"], "left")
+    a, b = (F.col(c).try_cast("double") for c in ("baseline", "smart"))
+    d = b - a
+    good = F.when(F.col("higher_is_better"), d > 0).otherwise(d < 0)
+    said = F.when(F.col("baseline").isNull() & F.col("smart").isNull(), "missing").when(F.col("higher_is_better").isNull() | d.isNull(), "descriptive").when(F.abs(d) <= 1e-12, "equal").when(good, "smart better").otherwise("baseline better")
+    return rows.select("slide_id", "position", "metric", F.col("baseline").alias("baseline_value"), F.col("smart").alias("smart_value"), d.alias("delta_smart_minus_baseline"), relative_delta(b, a).alias("relative_delta"), "higher_is_better", said.alias("interpretation"))
+
+
 def segmentations(rows: DataFrame) -> dict[str, DataFrame]:
     """Per-tile rows (method, status, class_pixel_counts as JSON): class table, totals, status counts."""
     counts = compare.class_counts(rows)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import raster, score
 from tilewright.operators import compare, embed, select
-from tilewright.plans import selectors
+from tilewright.plans import comparison, selectors
 from tilewright.plans.runs import DOT, _selections, _vectors
-from tilewright.plans.selection import rounded, runs
+from tilewright.plans.selection import dims, rounded, runs
 from tilewright.plans.sql import oracle, r6
 from tilewright.sources import fixtures as fx
 from tilewright.sources import slides as scan
@@ -142,3 +142,34 @@ def input_validation_counts(spark, d):
     i = F.col("row_id")
     cells = {name: F.when(i % (k + 2) == 0, a).when(i % (k + 3) != 0, b) for k, (name, (a, b)) in enumerate(CELLS.items())}
     return compare.input_validation_counts(fx.segmentation(spark, d).select(*[c.alias(n) for n, c in cells.items()]))
+
+
+def _table_sql() -> str:
+    """The numbers that SQL works out of two runs, beside the list of metrics."""
+    means = ", ".join(f"avg({f}) as mean_{f}_recomputed" for f in ("tissue_ratio", "visual_entropy", "blur_score", "artifact_penalty"))
+    spec = ", ".join(f"({i}, '{m}', {'null::boolean' if up is None else str(up).lower()})" for i, (m, up) in enumerate(comparison.METRICS))
+    one = ["num_selected", *[f"mean_{f}_recomputed" for f in ("tissue_ratio", "visual_entropy", "blur_score", "artifact_penalty")], "mean_pairwise_distance", "median_pairwise_distance", "min_pairwise_distance", "mean_nearest_neighbor_distance", "median_nearest_neighbor_distance", "min_nearest_neighbor_distance", "spatial_bbox_area", "spatial_coverage_ratio_approx"]
+    return f"""also f as (select r.method, r.slide_id, r.candidate_id, r.x_level0 + 512.0::double as cx, r.y_level0 + 512.0::double as cy, tissue_ratio, visual_entropy, blur_score, artifact_penalty from fx_runs r join fx_cand c on c.slide_id = r.slide_id and c.candidate_id = r.candidate_id),
+g as (select method, slide_id, count(*) as num_selected, {means}, (max(cx) - min(cx))*(max(cy) - min(cy)) as spatial_bbox_area from f group by all),
+pr as (select a.method, a.slide_id, a.candidate_id as i, a.candidate_id < b.candidate_id as once, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) as d from f a join f b on a.method = b.method and a.slide_id = b.slide_id and a.candidate_id <> b.candidate_id),
+p1 as (select method, slide_id, avg(d) as mean_pairwise_distance, quantile_cont(d, 0.5) as median_pairwise_distance, min(d) as min_pairwise_distance from pr where once group by all),
+p2 as (select method, slide_id, avg(nn) as mean_nearest_neighbor_distance, quantile_cont(nn, 0.5) as median_nearest_neighbor_distance, min(nn) as min_nearest_neighbor_distance from (select method, slide_id, i, min(d) as nn from pr group by all) group by all),
+w as (select * exclude (slide_width, slide_height), spatial_bbox_area/(slide_width*slide_height) as spatial_coverage_ratio_approx from g left join p1 using (method, slide_id) left join p2 using (method, slide_id) join fx_dims using (slide_id)),
+o as (select slide_id, count(*) filter (n = 2)::double as both_, count(*)::double as either_, sum(b)::double as nb, sum(s)::double as ns from (select slide_id, candidate_id, count(*) as n, count(*) filter (method = 'baseline') as b, count(*) filter (method = 'smart') as s from fx_runs group by all) group by 1),
+v as (select slide_id, method, metric, value from (unpivot (select slide_id, method, {', '.join(f'{c}::double as {c}' for c in one)} from w) on {', '.join(one)} into name metric value value)
+ union all select slide_id, m.method, x.metric, case x.metric when 'num_overlap_selected' then both_ when 'overlap_ratio_baseline' then both_/nb when 'overlap_ratio_smart' then both_/ns else both_/either_ end from o, (select unnest(['baseline', 'smart']) as method) m, (select unnest(['num_overlap_selected', 'overlap_ratio_baseline', 'overlap_ratio_smart', 'jaccard_selected']) as metric) x),
+spec(position, metric, up) as (values {spec}),
+t as (select s.slide_id, position, spec.metric, up, max(value) filter (v.method = 'baseline') as a, max(value) filter (v.method = 'smart') as b from (select distinct slide_id from fx_runs) s cross join spec left join v on v.slide_id = s.slide_id and v.metric = spec.metric group by all)
+select slide_id, cast(position as integer) as position, metric, {r6('a')} as baseline_value, {r6('b')} as smart_value, {r6('b - a')} as delta, {r6('(b - a)/nullif(abs(a), 0)')} as relative_delta, up as higher_is_better,
+ case when a is null and b is null then 'missing' when up is null or a is null or b is null then 'descriptive' when abs(b - a) <= 1e-12 then 'equal' when (up and b > a) or (not up and b < a) then 'smart better' else 'baseline better' end as interpretation from t"""
+
+
+@query(oracle(_table_sql(), "fx_runs", "fx_cand", "fx_dims"))
+def full_metric_table(spark, d):
+    """All 45 metrics of each slide's two selections; those that these tables have nothing for are missing."""
+    c = fx.candidates(spark, d)
+    chosen = runs(spark, d).select("method", "slide_id", "candidate_id", "rank").join(c.drop("nuclear_signal"), ["slide_id", "candidate_id"])
+    side = lambda m: chosen.where(F.col("method") == m).drop("method")
+    t = comparison.metric_table(comparison.selection_metrics(side("baseline"), side("smart"), dims(c)))
+    number = lambda n: F.round(F.col(n).cast("double"), 6)
+    return t.select("slide_id", "position", "metric", number("baseline_value").alias("baseline_value"), number("smart_value").alias("smart_value"), number("delta_smart_minus_baseline").alias("delta"), number("relative_delta").alias("relative_delta"), "higher_is_better", "interpretation")
