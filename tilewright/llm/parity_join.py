@@ -1,18 +1,21 @@
 """N-gram Jaccard self-join by parity sketches.
 
-Each document's shingle set is cut into classes by hash; a class is sketched by the exclusive or of its shingle
-hashes, and the whole set by one bit a cell, its parity. Two properties carry the join:
+A document's sketch has one bit a cell, the parity of the shingles that hash there: it is their cells' exclusive or. It is kept at
+two widths. The wide one has 2**64 cells, few of them set; it is cut into classes, ranges of cells in order, and a
+class is known by its key, the exclusive or of its set cells' numbers. The narrow one is the wide one folded modulo a power of two, and is
+stored as bits. Two properties carry the join:
 
-* A shingle that only one of two sets has changes one class and one bit. So of the classes at most |A ^ B| differ,
-  and the Hamming distance of the bit sketches is at most |A ^ B|. A similarity of t bounds |A ^ B| by
+* A shingle that only one of two sets has flips one cell, at either width. So at most |A ^ B| classes differ, and the Hamming
+  distance of the narrow sketches is at most |A ^ B|. A similarity of t bounds |A ^ B| by
   d = (1 - t) / (1 + t) * (|A| + |B|), a ninth of both sizes at 0.8.
 * Pigeonhole: take the classes that are not empty in order. The first one that is the same in both documents comes
   after at most d classes that differ, so it is among the first d + 1 of each. A document's keys are those d + 1
-  classes; documents that link share a key.
+  classes; documents that link share a key. If no class were the same, both documents would have at most d classes that
+  are not empty; documents with so few have one more key in common, so that none is lost.
 
 The number of classes is fixed for a band of sizes, so that both documents have the same classes; a document is
-keyed in its own band, and in the band below if a partner could be there. The number of classes leaves a document
-d + 1 or more that aren't empty but with the chance of an eight-sigma event (1e-15), as small as that of a hash collision.
+keyed in its own band, and in the band below if a partner could be there. The number of classes leaves all but one document
+in 1e15 with more than d that aren't empty.
 
 Copies and hot keys: documents of one set are linked to the least of them at once. A key's documents first form a
 star around the least, not all pairs; after the links found are contracted, only keys that still hold several
@@ -20,7 +23,8 @@ components go on. Their rows meet in cells of at most two blocks, with their ske
 components whose Hamming distance allows a link, and where these are many, first the closest of each row. So groups
 of near copies cost rows in proportion to their size, and no link between components is lost.
 
-Every candidate is verified on the exact sets, made again from the two whole texts. A star's center travels once for each
+Every candidate is verified on the sets of 64-bit shingle hashes, made again from the two whole texts: sizes and intersections are exact
+but for two shingles of a pair with one hash (1e-12 for a pair of long texts). A star's center travels once for each
 block of its members, and its set is held while they stream by.
 
 Defined cases: a null or empty text has an empty set and links with nothing; a null doc_id takes no part and is its
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
 from tilewright.llm.ordering import pieces
-from tilewright.llm.shared import TEXT_ROWS, batch_rows, keep, text_bytes
+from tilewright.llm.shared import drop, keep, small_batches, text_bytes, unused
 from tilewright.llm.shingles import U, mix, shingle_sets
 
 #: Similarity in hundredths, and words of a shingle.
@@ -49,10 +53,10 @@ SIMILARITY, WORDS = 80, 5
 SMALL = 32
 #: Members of a star that are verified with one copy of the center's text; rows of a block of a hot key.
 STAR_BLOCK, KEY_BLOCK = 500, 512
-#: Rows of an Arrow batch of keys.
-NUMBER_ROWS = 10_000
 #: Rows of ids up to which they are broadcast to the texts (8 to 24 bytes each); beyond, both sides shuffle.
-MAX_BROADCAST_ROWS = 400_000
+MAX_BROADCAST_ROWS = 100_000
+#: Key of documents with few classes that aren't empty, in each band.
+FEW_CLASSES = 1 << 39
 
 PROFILE = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, keys array<long>"
 
@@ -126,6 +130,8 @@ def keys_of(s: np.ndarray) -> np.ndarray:
         first = first[: d + 1]
         xor = np.bitwise_xor.reduceat(s[:upto], first)
         out.append(mix(xor ^ mix(cls[first] + U((band + 1) << 40))))
+        if len(first) <= d:
+            out.append(mix(np.array([FEW_CLASSES + band], np.uint64)))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -206,8 +212,9 @@ def _verify(batches):
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts link, by one shuffle of the texts that pairs name."""
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_BLOCK).alias("blocks"))
-    salted = pairs.join(blocks, "a").select(F.col("a").alias("center"), F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("salt"))
+    blocks = keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_BLOCK).alias("blocks")).where("blocks > 1"), "blocks")
+    salt = F.coalesce(F.pmod(F.xxhash64("b"), "blocks"), F.lit(0)).cast("int")
+    salted = pairs.join(blocks, "a", "left").select(F.col("a").alias("center"), F.col("b").alias("doc_id"), salt.alias("salt"))
     salted = keep(salted, "pairs")
     heads = salted.select("center", "salt").distinct().select("center", "salt", F.lit(0).alias("member"), F.col("center").alias("doc_id"))
     wanted = heads.unionByName(salted.select("center", "salt", F.lit(1).alias("member"), "doc_id"))
@@ -215,8 +222,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null").join(wanted, "doc_id")
     n = pieces(docs.sparkSession)
     dealt = texts.repartition(n, "center", "salt").sortWithinPartitions("center", "salt", "member", "doc_id")
-    with batch_rows(docs.sparkSession, TEXT_ROWS):
-        return keep(dealt.select("center", "salt", "member", "doc_id", "text").mapInArrow(_verify, "a long, b long"), "verified")
+    found = keep(dealt.select("center", "salt", "member", "doc_id", "text").mapInArrow(_verify, "a long, b long"), "verified")
+    drop(salted, blocks)
+    return found
 
 
 def _folded(sketch: int, cells: int, to: int) -> int:
@@ -330,10 +338,10 @@ def _pair_rows(out: list) -> pa.RecordBatch:
 
 
 def _block_pairs(left: DataFrame, known: DataFrame, every: bool) -> DataFrame:
-    """key, a, b, more: possible pairs across components within each key. The key's rows are cut into blocks; each pair of blocks is a
+    """Rows (key, n, node, root) to key, a, b, more: possible pairs across components within each key. The key's n rows are cut into blocks; each pair of blocks is a
     cell, so no task holds more than two blocks of a key."""
     sketches = known.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
-    sized = left.join(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_BLOCK).cast("int").alias("blocks")), "key")
+    sized = left.withColumn("blocks", F.ceil(F.col("n") / KEY_BLOCK).cast("int"))
     placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", "node", "root", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
@@ -347,11 +355,14 @@ def _edges(roots: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
+    with small_batches(docs.sparkSession):
+        return _similar(docs)
+
+
+def _similar(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = pieces(docs.sparkSession)
-    spark = docs.sparkSession
-    with batch_rows(spark, TEXT_ROWS):
-        profile = keep(docs.mapInArrow(_profile, PROFILE), "profile")
+    profile = keep(docs.mapInArrow(_profile, PROFILE), "profile")
     known = profile.where("n_shingles > 0 and doc_id is not null")
 
     # Documents of equal sets hang on the least of them.
@@ -359,7 +370,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     least = keep(least, "equal-sets")  # read again, it is broadcast where small, and else the join can split a hot set
     equal = known.select("doc_id", "h1", "h2").join(least, ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     equal = keep(equal, "equal")
-    reps = equal.groupBy("b").agg(F.min("a").alias("rep"))  # a doc_id may repeat
+    reps = keep(equal.groupBy("b").agg(F.min("a").alias("rep")), "reps")  # a doc_id may repeat
 
     def to_rep(df: DataFrame, col: str) -> DataFrame:
         return df.join(reps.withColumnRenamed("b", col), col, "left").withColumn(col, F.coalesce("rep", col)).drop("rep")
@@ -367,32 +378,34 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # Stars of the keys; a key cut by a partition's edge has several centers, and these form a star again.
     keyed = known.where("size(keys) > 0").select(F.explode("keys").alias("key"), "doc_id")
     stars = keyed.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, "key long, center long, doc_id long, edge boolean")
-    with batch_rows(spark, NUMBER_ROWS):
-        stars = keep(stars, "stars")
+    stars = keep(stars, "stars")
     edges = stars.where("edge").select("key", "center").distinct()
     edges = edges.join(edges.groupBy("key").agg(F.min("center").alias("first")), "key").where("center <> first").select(F.col("first").alias("a"), F.col("center").alias("b"))
     pairs = stars.where("not edge and center <> doc_id").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct().unionByName(edges)
     pairs = to_rep(to_rep(pairs, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = keep(sieved(pairs, known), "tried")
-    roots = components(verified(tried, docs))
+    links = verified(tried, docs)
+    roots = components(links)
+    drop(links)
 
     # Keys that still hold several components; of keys with the same documents, one.
     keys, every = None, False
     while True:
-        left = stars.select("key", F.col("doc_id").alias("node"))
-        if keys is not None:
-            left = left.join(keys, "key", "left_semi")
-        left = to_rep(left, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).distinct()
+        rooted = lambda df: to_rep(df.withColumnRenamed("doc_id", "node"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).distinct()  # noqa: E731, B023
+        left = stars.select("key", "doc_id") if keys is None else stars.select("key", "doc_id").join(keys, "key", "left_semi")
         mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
-        several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *mark).where("low < high")
-        several = several.groupBy("m0", "m1", "n").agg(F.min("key").alias("key")).select("key")
-        found = keep(_block_pairs(left.join(several, "key"), known, every), "possible")
+        several = rooted(left).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *mark).where("low < high")
+        several = keep(several.groupBy("m0", "m1", "n").agg(F.min("key").alias("key")).select("key", "n"), "several")
+        found = keep(_block_pairs(rooted(stars.select("key", "doc_id").join(several, "key")), known, every), "possible")
         new = keep(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        keys = found.where("more").select("key").distinct()
-        some = not new.isEmpty()
+        some, more = not new.isEmpty(), keep(found.where("more").select("key").distinct(), "keys")
+        drop(several, found, *([keys] if keys is not None else []))
+        keys, before = more, roots
         if some:
-            before, roots = roots, components(_edges(roots).unionByName(verified(new, docs)))
+            fresh = verified(new, docs)
+            roots = components(_edges(before).unionByName(fresh))
             tried = tried.unionByName(new)
+            drop(fresh)
         if every or keys.isEmpty():
             break
         every = not some or roots.count() == before.count()  # the closest pairs bring nothing more: try all
@@ -400,6 +413,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # Components of all nodes, named by their least doc_id; a node without links is its own.
     everyone = profile.select("doc_id", "n_shingles")
     whole = components(_edges(roots).unionByName(equal))
+    drop(least, equal, reps, stars, tried, roots, keys)
     return everyone.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
@@ -407,11 +421,12 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     """The documents, less all but the one with the least doc_id of each component; all columns stay. Of rows that repeat a doc_id
     one stays, the least by text; documents without words, and rows with a null doc_id, stay."""
     found = keep(similar_documents(docs), "similar")
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    losers = keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     losers = F.broadcast(losers) if losers.count() <= MAX_BROADCAST_ROWS else losers  # beyond, the texts shuffle once
     rest = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
-    twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    twice = keep(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return rest
-    one = rest.join(twice, "doc_id", "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__r = 1").drop("__r")
+    rank = unused(docs, "rank")
+    one = rest.join(twice, "doc_id", "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1)
     return rest.join(twice, "doc_id", "left_anti").unionByName(one.select(rest.columns)).select(docs.columns)
