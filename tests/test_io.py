@@ -216,3 +216,82 @@ def test_caches_and_ordinals(spark):
     assert tables.nth_selected(chosen, 1).first()["candidate_id"] == "b"
     with pytest.raises(IndexError):
         tables.nth_selected(chosen, 2)
+
+
+def test_exports(spark, tmp_path):
+    from tilewright.sources import exports
+    from tilewright.sources import slides as scan
+
+    boxes = spark.createDataFrame([(1, "a", 0, 0, 24, 1), (1, "b", 512, 64, 24, 2), (2, "a", -8, 3, 24, 1)], "slide_id long, candidate_id string, x_level0 long, y_level0 long, patch_size long, rank int")
+    tiles = scan.scan_regions(boxes, scan.PatternSlides)
+    done = {(r["slide_id"], r["candidate_id"]): r for r in exports.export_tiles(tiles, str(tmp_path / "tiles")).collect()}
+    assert done[1, "b"]["path"].endswith("slide_1/patch_0001_x512_y64.png") and len(list((tmp_path / "tiles").rglob("*"))) == 5
+    back = {r["path"]: r for r in exports.scan_pictures(spark.createDataFrame([(r["path"],) for r in done.values()] + [(str(tmp_path / "none.png"),)], "path string")).collect()}
+    for r in tiles.collect():
+        assert back[done[r["slide_id"], r["candidate_id"]]["path"]]["rgb"] == r["rgb"]
+    assert back[str(tmp_path / "none.png")]["error"].startswith("FileNotFoundError")
+    copies = exports.copy_files(spark.createDataFrame([(r["path"],) for r in list(done.values())[:1]], "path string"), f"file://{tmp_path}/copies").collect()
+    assert copies[0]["n_bytes"] == list(done.values())[0]["n_bytes"]
+    arrays = exports.export_arrays(spark.createDataFrame([("p", [1.0, 2.5]), ("q", [3.0, 4.0])], "k string, v array<double>"), str(tmp_path / "npy"), "k", "v")
+    rows = exports.scan_arrays(arrays, (2,)).collect()
+    assert sorted(r["values"] for r in rows) == [[1.0, 2.5], [3.0, 4.0]]
+    with pytest.raises(Exception, match="has shape"):
+        exports.scan_arrays(arrays, (3,)).collect()
+
+
+def test_png_filters():
+    """Every row filter, made by hand, gives the picture back."""
+    import struct
+    import zlib
+
+    from tilewright.sources import exports
+
+    r = np.random.default_rng(1)
+    p = r.integers(0, 256, (10, 7, 3)).astype(int)
+    lines = b""
+    for y in range(10):
+        kind = y % 5
+        line = []
+        for x in range(7):
+            for c in range(3):
+                a, b, d = (p[y, x - 1, c] if x else 0), (p[y - 1, x, c] if y else 0), (p[y - 1, x - 1, c] if x and y else 0)
+                g = a + b - d
+                paeth = min((abs(g - a), 0, a), (abs(g - b), 1, b), (abs(g - d), 2, d))[2]
+                line.append((p[y, x, c] - [0, a, b, (a + b) // 2, paeth][kind]) % 256)
+        lines += bytes([kind, *line])
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert (exports.png_pixels(data) == p).all() and (exports.png_pixels(exports.png(p.astype(np.uint8))) == p).all()
+    with pytest.raises(ValueError):
+        exports.png_pixels(b"GIF89a")
+
+
+def test_paths_with_a_scheme(spark, tmp_path):
+    folder = f"file://{tmp_path}/out"
+    sinks.json_document({"b": 1}, f"{folder}/d.json")
+    sinks.json_document({"b": 2}, f"{folder}/d.json")
+    assert json.loads((tmp_path / "out" / "d.json").read_text()) == {"b": 2} and sinks.exists(f"{folder}/d.json") and not sinks.exists(f"{folder}/e.json")
+    with pytest.raises(FileExistsError):
+        sinks.guarded(folder)
+    assert sinks.guarded(folder, overwrite=True) == folder
+    for bad in ("file:///", folder):
+        with pytest.raises(ValueError):
+            sinks.guarded(bad, overwrite=True, forbidden=(folder,))
+
+
+def test_selection_metrics(spark):
+    from tilewright.plans import comparison
+
+    rows = [(1, f"c{i}", i * 1024, 0, 1024, i, 0.1 * i, "x" * (i % 2)) for i in range(6)]
+    df = spark.createDataFrame(rows, "slide_id long, candidate_id string, x_level0 long, y_level0 long, patch_size long, rank int, tissue_ratio double, cluster_id string")
+    df = df.withColumn("unit", F.expr("array(1.0D, cast(rank as double))")).withColumn("embedding", F.col("unit"))
+    slides = spark.createDataFrame([(1, 8192, 4096)], "slide_id long, slide_width long, slide_height long")
+    extra = spark.createDataFrame([(1, "baseline", "runtime_seconds", "2.5"), (1, "smart", "runtime_seconds", "2.0"), (1, "smart", "nuclear_proxy", "hed")], "slide_id long, method string, metric string, value string")
+    got = comparison.metric_table(comparison.selection_metrics(df.where("rank < 4"), df.where("rank > 1"), slides, extra)).orderBy("position").collect()
+    at = {r["metric"]: r for r in got}
+    assert len(got) == 45 and [r["position"] for r in got] == list(range(45))
+    assert at["num_overlap_selected"]["smart_value"] == "2" and at["jaccard_selected"]["interpretation"] == "descriptive"
+    assert at["runtime_seconds"]["interpretation"] == "smart better" and at["runtime_seconds"]["relative_delta"] == pytest.approx(-0.2)
+    assert at["nuclear_proxy"]["smart_value"] == "hed" and at["nuclear_proxy"]["delta_smart_minus_baseline"] is None
+    assert at["mean_tissue_ratio_recomputed"]["interpretation"] == "smart better" and at["quota_fill_rate"]["interpretation"] == "missing"
+    assert float(at["num_embedding_clusters_covered"]["smart_value"]) == 2 and at["mean_pairwise_embedding_distance"]["smart_value"] is not None

@@ -46,9 +46,15 @@ def nearest(pairs: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key, "i").agg(F.min("distance").alias("nearest"))
 
 
+#: Rows of a selection that goes to every task.
+MOST_SELECTED = 10_000
+
+
 def against_selected(df: DataFrame, chosen: DataFrame, by: str | None = None) -> DataFrame:
     """Least cosine distance and largest similarity to a selection; 1 and 0 where there is none. With no key the selection is one row:
-    an array of vectors of k rows."""
+    an array of vectors of k rows; more than ``MOST_SELECTED`` are no selection."""
+    if not by and chosen.limit(MOST_SELECTED + 1).count() > MOST_SELECTED:
+        raise ValueError(f"a selection has at most {MOST_SELECTED} rows")
     chosen_u = with_unit_vectors(chosen).select(*([by] if by else []), F.col("unit").alias("s"))
     grouped = (chosen_u.groupBy(by) if by else chosen_u.groupBy()).agg(F.collect_list("s").alias("set"))
     u = with_unit_vectors(df)
