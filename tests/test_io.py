@@ -295,3 +295,44 @@ def test_selection_metrics(spark):
     assert at["nuclear_proxy"]["smart_value"] == "hed" and at["nuclear_proxy"]["delta_smart_minus_baseline"] is None
     assert at["mean_tissue_ratio_recomputed"]["interpretation"] == "smart better" and at["quota_fill_rate"]["interpretation"] == "missing"
     assert float(at["num_embedding_clusters_covered"]["smart_value"]) == 2 and at["mean_pairwise_embedding_distance"]["smart_value"] is not None
+
+
+def test_documents(spark):
+    from tilewright.functions import documents
+
+    assert documents.ordered_unique(["b", "a"], ["a", "c", "b"]) == ["b", "a", "c"]
+    assert documents.utc_now().endswith("+00:00")
+    assert [x[0] for x in values(spark, [("CUDA out of memory",), ("Cannot allocate 5 GB",), ("no file",), (None,)], "m string", c=documents.is_memory_fault(F.col("m")))] == [True, True, False, False]
+    assert documents.json_safe({1: np.arange(2), "a": [np.float32(0.5), {"b": (1, None)}], "p": Exception("x")}) == {"1": [0, 1], "a": [0.5, {"b": [1, None]}], "p": "x"}
+    numbers = [0.1234565, 2.5, -0.0000005, 1e10, None, float("nan")]
+    got = [x[0] for x in values(spark, [(n,) for n in numbers], "v double", s=documents.shown_column(F.col("v"), 6, "n/a"))]
+    assert got == [f"{n:.6f}" if n is not None and n == n else "n/a" for n in numbers]
+    table = spark.createDataFrame([("m", "1.5", "x", ""), ("n", None, "2", "-1e3"), ("m", "2", "3", "1")], "metric string, baseline_value string, smart_value string, delta_smart_minus_baseline string").coalesce(1)
+    assert {r["metric"]: tuple(r)[1:] for r in documents.metric_values(table).collect()} == {"m": (2.0, 3.0, 1.0), "n": (None, 2.0, -1000.0)}
+    a, b = (spark.createDataFrame([(i, i * k) for i in range(3)], f"position int, v{k} int") for k in (1, 2))
+    assert sorted(map(tuple, documents.in_order(a, b).collect())) == [(0, 0, 0), (1, 1, 2), (2, 2, 4)]
+    with pytest.raises(Exception, match="no partner at position 2"):
+        documents.in_order(a, b.where("position < 2")).collect()
+
+
+def test_model_output():
+    from tilewright.functions import documents
+
+    p = np.random.default_rng(1).random((5, 8, 9))
+    labels, chance, at, chance_at = documents.model_output({"run": [{"probs": p[None]}]})
+    assert (labels == p.argmax(0)).all() and chance.shape == (8, 9, 5) and (at, chance_at) == ("argmax of run[0].probs", "run[0].probs")
+    labels, chance, at, _ = documents.model_output({"label": np.zeros((8, 9), int), "prediction": np.ones((1, 8, 9), int), "probabilities": np.moveaxis(p, 0, -1)})
+    assert labels.sum() == 72 and at == "prediction" and chance.shape == (8, 9, 5)
+    for bad in ({"labels": np.zeros((8, 9))}, {"labels": np.zeros((3, 3)), "probs": p}):
+        with pytest.raises(ValueError):
+            documents.model_output(bad)
+
+
+def test_legend():
+    p = overlay.legend({3: 0.5, 1: 1.0}, width=100, row=10)
+    assert p.shape == (20, 100, 3) and (p[5, 5] == overlay.colour(1)).all() and (p[15, 5] == overlay.colour(3)).all()
+    bar = lambda y: int((p[y, 12:] != 255).any(-1).sum())
+    assert bar(5) == 80 and bar(15) == 40
+    both = overlay.below(np.zeros((4, 30, 3), np.uint8), p)
+    assert both.shape == (32, 100, 3) and (both[0, 40] == 255).all() and (both[:4, :30] == 0).all()
+    assert overlay.legend({}).shape[0] == 12

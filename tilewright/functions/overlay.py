@@ -54,6 +54,23 @@ def side_by_side(pictures: list[np.ndarray], gap: int = 8) -> np.ndarray:
     return np.hstack(parts)
 
 
+def legend(ratios: dict[int, float], width: int = 160, row: int = 12) -> np.ndarray:
+    """A row for each class, in order: a square of its colour, and a bar as long as its share."""
+    out = np.full((max(1, len(ratios)) * row, width, 3), 255, np.uint8)
+    for i, (class_id, ratio) in enumerate(sorted(ratios.items())):
+        lines, bar = slice(i * row + 2, (i + 1) * row - 2), round(min(1.0, max(0.0, ratio)) * (width - 2 * row))
+        out[lines, 2 : row - 2] = colour(class_id)
+        out[lines, row + 2 : row + 2 + bar] = colour(class_id)
+    return out
+
+
+def below(picture: np.ndarray, other: np.ndarray, gap: int = 8) -> np.ndarray:
+    """One picture under the other, on white."""
+    width = max(picture.shape[1], other.shape[1])
+    fit = lambda p: np.hstack([p, np.full((p.shape[0], width - p.shape[1], 3), 255, np.uint8)])
+    return np.vstack([fit(picture), np.full((gap, width, 3), 255, np.uint8), fit(other)])
+
+
 def boxed(rgb: np.ndarray, boxes: list[tuple[int, int, int, int]], ink: tuple[int, int, int] = (230, 25, 75)) -> np.ndarray:
     """Outlines of (left, top, width, height); the line is a 180th of the picture's smaller side, 1 at least."""
     out, line = rgb.copy(), max(1, min(rgb.shape[:2]) // 180)
