@@ -198,11 +198,11 @@ def pick(df: DataFrame, terms: Terms, base: str = "score_raw", by: str = "slide_
 
 
 def rescored(df: DataFrame, chosen: DataFrame, spatial: float, scale: float, base: str = "score_raw", by: str = "slide_id") -> DataFrame:
-    """The rows not chosen, against the whole final set: a join on the slide with a grouped maximum; chosen rows are k a slide."""
-    x = lambda a, c: F.col(f"{a}.{c}_level0")
-    away = F.sqrt(F.pow(x("r", "x") - x("s", "x"), 2) + F.pow(x("r", "y") - x("s", "y"), 2))
-    rest = df.join(chosen.select(by, "candidate_id"), [by, "candidate_id"], "left_anti")
-    near = rest.alias("r").join(chosen.alias("s"), F.col(f"r.{by}") == F.col(f"s.{by}")).groupBy(F.col(f"r.{by}"), F.col("r.candidate_id"), F.col(f"r.{base}")).agg(F.max(F.exp(-away / scale)).alias("spatial_penalty"))
+    """The rows not chosen, against the whole final set: a slide's picks (k) are one array, met by one join; no row is multiplied."""
+    picks = chosen.groupBy(by).agg(F.collect_list(F.struct("candidate_id", "x_level0", "y_level0")).alias("picks"))
+    away = lambda p: F.sqrt(F.pow(F.col("x_level0") - p["x_level0"], 2) + F.pow(F.col("y_level0") - p["y_level0"], 2))
+    rest = df.select(by, "candidate_id", "x_level0", "y_level0", base).join(picks, by).where(~F.exists("picks", lambda p: p["candidate_id"] == F.col("candidate_id")))
+    near = rest.select(by, "candidate_id", base, F.array_max(F.transform("picks", lambda p: F.exp(-away(p) / scale))).alias("spatial_penalty"))
     return near.withColumn("score_final", F.col(base) - F.lit(spatial) * F.col("spatial_penalty"))
 
 
