@@ -45,13 +45,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Remove tables that ``keep`` wrote, once nothing reads them any more."""
+    """Remove tables that ``keep`` wrote, once nothing reads them any more; only folders in the shared one are touched."""
     for df in tables:
         spark = df.sparkSession
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if path.startswith(shared_dir(spark)) or path.startswith(re.sub("^file:/*", "file:///", shared_dir(spark))):
-                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        place, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        base = place(shared_dir(spark))
+        base = base.getFileSystem(conf).makeQualified(base)
+        for folder in {place(f).getParent().toString() for f in df.inputFiles()}:
+            if place(folder).getParent().equals(base):
+                place(folder).getFileSystem(conf).delete(place(folder), True)
 
 
 def unused(df: DataFrame, name: str) -> str:
