@@ -2,18 +2,21 @@
 
 Trusted positives (label 1) and a sample of unlabelled web text train a linear model on text features by minimising the
 non-negative unbiased risk  pi * R+(positive as positive) + max(0, R-(unlabelled as negative) - pi * R-(positive as
-negative))  with the sigmoid loss; where the second part is negative, the step goes against it. pi, the class prior, is
-the labelled rows' share of positives, and where only positives are labelled it is estimated from the model itself
-(mean score of unlabelled over mean score of positive rows, from a first fit). Negative labels are never trained on; with
-them the score is only calibrated, by a logistic line through the margins of the labelled training rows.
+negative))  with the sigmoid loss; where the second part is negative, the step goes against it. Negative labels are never read.
+
+pi, the class prior, is estimated: a first model, fitted on half of either sample with pi = 0.5, ranks the other halves, and pi is the
+least ratio, over thresholds that keep most positives, of the share of unlabelled rows above the threshold to the share of positive rows above it (plus
+their sampling error): positives make up pi times the positive share of any top part of the unlabelled rows, or
+less than all of it. The score is the posterior  pi * positive density / unlabelled density  of the final margin, as the rising
+function that minimises the unbiased squared risk over both samples, with a hundredth of a logistic mixed in to tell ties apart.
 
 Features are a text's byte frequencies (square roots, so that rare signs show), the logarithm of its length, its mean word
 and line lengths, and how often a byte repeats the one before it. Nothing else about a row enters a score.
 
 ``SAMPLE`` bounds the positive and the unlabelled rows that are fitted, each drawn by digest from the whole
-table; scoring covers every row.
+table; scoring covers every row. Where rows repeat a doc_id, the one with the least features is fitted.
 
-Defined cases: a null text is empty and has the features of an empty text, and a score; with no labelled rows every score is 0.5; a
+Defined cases: a null text is empty and has the features of an empty text, and a score; with no positive rows every score is 0.5; a
 doc_id that is null has no label; labels with null quality are none; where labels repeat a doc_id the largest holds; an empty
 table gives an empty result; other columns of the input are ignored.
 """
@@ -33,6 +36,8 @@ from tilewright.llm.shingles import SPACE, word_bounds, word_hashes
 #: Rows of either kind that are fitted, at most.
 SAMPLE = 6000
 THRESHOLD = 0.3
+#: Share of the positives above a threshold from which the prior may be read.
+MOST = 0.85
 FOLDS = 5
 WIDTH = 256 + 8
 
@@ -74,47 +79,66 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def risk_and_slope(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Both parts of the risk (positives as positive; unlabelled less positives as negative) and their slopes. Rows end with a 1."""
+    gp, gu = _sigmoid(p @ w), _sigmoid(u @ w)  # loss as negative: g; as positive: 1 - g
+    dp, du = (gp * (1 - gp)) @ p / len(p), (gu * (1 - gu)) @ u / len(u)
+    return prior * float(1 - gp.mean()), float(gu.mean() - prior * gp.mean()), -prior * dp, du - prior * dp
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 2000, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights (the last one is the bias) by full-batch Adam on the non-negative risk."""
-    add = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
-    p, u = add(positive), add(unlabelled)
+    p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (positive, unlabelled))
     w = np.zeros(p.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        gp, gu = _sigmoid(p @ w), _sigmoid(u @ w)  # loss as negative: g; as positive: 1 - g
-        dp, du = gp * (1 - gp), gu * (1 - gu)
-        negative = gu.mean() - prior * gp.mean()
-        slope = du @ u / len(u) - prior * (dp @ p) / len(p)
-        grad = -slope if negative < 0 else -prior * (dp @ p) / len(p) + slope
-        grad = grad + decay * np.concatenate([w[:-1], [0.0]])
+        _, negative, up, down = risk_and_slope(w.astype(np.float32), p, u, prior)
+        grad = (-down if negative < 0 else up + down) + decay * np.concatenate([w[:-1], [0.0]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def _line(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic line; the slope is never negative."""
-    a, b = 1.0, 0.0
-    for _ in range(200):
-        s = _sigmoid(a * margin + b)
-        g, h = s - label, np.maximum(s * (1 - s), 1e-6)
-        x = np.stack([margin, np.ones_like(margin)])
-        step = np.linalg.solve((x * h) @ x.T / len(margin) + 1e-4 * np.eye(2), x @ g / len(margin) + 1e-4 * np.array([a - 1.0, b]))
-        a, b = max(1e-3, a - step[0]), b - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    return a, b
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from the margins of rows that the ranking model was not fitted on."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = p[:: max(1, len(p) // 200)]
+    of_p, of_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
+    error = lambda share, n: np.sqrt(share * (1 - share) / n) + 1 / n
+    top = of_p >= MOST  # smaller parts would follow any difference between trusted and other positives
+    ratio = (of_u + error(of_u, len(u)) + of_u * error(of_p, len(p)) / np.maximum(of_p, 1e-9)) / np.maximum(of_p, 1e-9)
+    best = int(np.argmin(np.where(top, ratio, np.inf)))
+    return float(np.clip(ratio[best], 0.02, 0.98))
+
+
+def posterior(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Margins and probabilities of the rising function r that minimises mean r(u)**2 / 2 - prior * mean r(p) within [0, 1]: pools of
+    neighbouring margins, joined while a lower one's ratio isn't smaller. A pool gives its ends; between pools r is straight."""
+    at = np.unique(np.concatenate([positive, unlabelled]))
+    up = prior * np.bincount(np.searchsorted(at, positive), minlength=len(at)) / len(positive)
+    down = np.bincount(np.searchsorted(at, unlabelled), minlength=len(at)) / len(unlabelled)
+    pools: list[list[float]] = []  # lowest margin, highest, positive weight, unlabelled weight
+    for row in zip(at.tolist(), at.tolist(), up.tolist(), down.tolist()):
+        pools.append(list(row))
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, high, more, rows = pools.pop()
+            pools[-1][1], pools[-1][2], pools[-1][3] = high, pools[-1][2] + more, pools[-1][3] + rows
+    place = np.array([x for low, high, _, _ in pools for x in (low, high)])
+    ratio = np.array([min(1.0, more / rows) if rows else 1.0 for _, _, more, rows in pools])
+    return place, np.repeat(ratio, 2)
 
 
 class Model:
-    def __init__(self, mean, scale, weights, a=1.0, b=0.0):
-        self.mean, self.scale, self.weights, self.a, self.b = mean, scale, weights, a, b
+    def __init__(self, mean, scale, weights, prior=0.5, places=None, chances=None):
+        self.mean, self.scale, self.weights, self.prior, self.places, self.chances = mean, scale, weights, prior, places, chances
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.round(_sigmoid(self.a * self.margin(x) + self.b), 6)
+        margin = self.margin(x)
+        told = _sigmoid(margin / 8)
+        return np.round(told if self.places is None else 0.99 * np.interp(margin, self.places, self.chances) + 0.01 * told, 6)
 
 
 def _feature_rows(batches):
@@ -123,49 +147,37 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "kind": b.column("kind"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """The model from features of both samples, in any order that doesn't depend on what they are."""
+    if not len(positive) or not len(unlabelled):
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1))
+    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
+    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    prior = 0.5
+    if min(len(p), len(u)) >= 40:
+        first = fit_nnpu(p[::2], u[::2], 0.5, steps=400)
+        margin = lambda x: x @ first[:-1] + first[-1]
+        prior = estimate_prior(margin(p[1::2]), margin(u[1::2]))
+    model = Model(mean, scale, fit_nnpu(p, u, prior), prior=prior)
+    model.places, model.chances = posterior(model.margin(positive), model.margin(unlabelled), prior)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Only labels of rows outside the held-out fold are read. The driver gets at most 3 * sample rows of features (1 kB each)."""
+    """Only labels of rows outside the held-out fold are read. The driver gets at most 2 * sample rows of features (1 kB each), one a doc_id."""
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = F.xxhash64("doc_id", F.lit(29))
     learn = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     learn = learn.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("kind"))
-    share = learn.agg(F.count_if(F.col("kind") == 1).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    picked = None
-    for kind in (0, 1):
-        some = learn.where(F.col("kind") == kind).orderBy(order, "doc_id").limit(sample)
-        picked = some if picked is None else picked.unionByName(some)
+    trusted = learn.where("kind = 1").orderBy(order, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("kind"))
     web = text.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).select("doc_id", F.lit(2).alias("kind"))
-    wanted = F.broadcast(picked.select("doc_id", F.col("kind").cast("int")).unionByName(web))  # at most 3 * sample ids
-    rows = text.join(wanted, "doc_id").select("doc_id", "kind", "text").mapInArrow(_feature_rows, "doc_id long, kind int, x binary").toPandas()
-    rows = rows.sort_values(["kind", "doc_id", "x"])
+    wanted = F.broadcast(trusted.unionByName(web))  # at most 2 * sample ids
+    rows = text.join(wanted, "doc_id").select("doc_id", "kind", "text").mapInArrow(_feature_rows, "doc_id long, kind int, x binary")
+    rows = rows.groupBy("doc_id", "kind").agg(F.min("x").alias("x")).toPandas()
+    rows = rows.assign(order=[zlib.crc32(b"order" + str(i).encode()) for i in rows["doc_id"]]).sort_values(["kind", "order", "doc_id"])
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, WIDTH)
     kind = rows["kind"].to_numpy()
-    if not (kind == 1).any() or not (kind == 2).any():
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1))
-    mean, scale = x.mean(0), x.std(0) + 0.02
-    z = (x - mean) / scale
-    p, u = z[kind == 1], z[kind == 2]
-    if share["p"] < share["n"]:
-        prior = share["p"] / share["n"]
-    else:
-        first = fit_nnpu(p, u, 0.5)
-        g = lambda part: _sigmoid(part @ first[:-1] + first[-1]).mean()
-        prior = float(np.clip(g(u) / max(g(p), 1e-6), 0.05, 0.95))
-    model = Model(mean, scale, fit_nnpu(p, u, prior))
-    if (kind == 0).any():
-        told = kind < 2
-        weight = np.where(kind[told] == 1, prior / (kind[told] == 1).mean(), (1 - prior) / (kind[told] == 0).mean())
-        model.a, model.b = _weighted_line(model.margin(x[told]), kind[told].astype(float), weight)
-    return model
-
-
-def _weighted_line(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """The line over labelled rows in the proportion of the prior: each class's margins are repeated by its weight, in quantiles."""
-    parts = []
-    for y in (0.0, 1.0):
-        m = np.quantile(margin[label == y], (np.arange(1000) + 0.5) / 1000)
-        parts.append((m, y, max(1, round(20 * weight[label == y][0] * (label == y).mean()))))
-    return _line(np.concatenate([np.repeat(m, n) for m, _, n in parts]), np.concatenate([np.full(len(m) * n, y) for m, y, n in parts]))
+    return fit(x[kind == 1], x[kind == 2])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
