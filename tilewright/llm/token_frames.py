@@ -11,7 +11,7 @@ A file holds the documents of one range of ids in ascending order, each in a fra
 Any zstandard reader decompresses a file as a whole; :class:`FrameFile` reads the tables from the end and decompresses only the
 documents asked for, each checked.
 
-Defined cases: a null or empty text has only the end id; null doc_ids come first; rows that repeat a doc_id go by their frames; an empty
+Defined cases: a null or empty text has only the end id; null doc_ids come first, in files of their own; rows that repeat a doc_id go by their frames, in one file; an empty
 table writes no file and gives an empty result; other columns of the input are ignored; texts of any length are encoded whole.
 """
 
@@ -29,14 +29,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.ordering import bucket, id_bounds, pieces
-from tilewright.llm.shared import filesystem, fresh_path, keep, publish, runs_of, text_bytes
+from tilewright.llm.ordering import pieces, ranges_of
+from tilewright.llm.shared import filesystem, fresh_path, keep, publishing, runs_of, text_bytes
 from tilewright.llm.shingles import LOWER, word_bounds, word_hashes
 
 SEEK_MAGIC, TABLE_MAGIC, FOOT_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 LEVEL = 1
-#: Pieces remembered by a worker (some 60 bytes each); beyond that it forgets and starts again.
-REMEMBERED = 2_000_000
+#: Pieces that a worker remembers (some 60 bytes each), and bytes of theirs; beyond that it forgets and starts again.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 1 << 24
+#: Documents of a file, about; what a reader holds of a file is its tables, 21 bytes a document.
+DOCUMENTS = 1 << 18
+#: Bytes of the texts that are cut into pieces at once; a longer text stands alone.
+RUN = 1 << 22
 #: Bytes that part a text, bytes that only the library can judge, and kinds of the others.
 CUTS, ODD = np.zeros(256, bool), np.zeros(256, bool)
 CUTS[[0x20, 0x0A]] = True
@@ -55,16 +59,19 @@ class Encoder:
 
     It drops white space, lowers letters, and cuts a text into runs of letters, single digits and runs of signs. Where all bytes
     between two spaces are ASCII or Latin-1 letters, and none is an apostrophe or a control character, these cuts are found on the
-    bytes; anything else between two spaces is one piece, for the library to cut. Each distinct piece is encoded once by the library and
-    remembered under a 64-bit hash; ids of texts are gathered from there by arrays. Pieces of letters are encoded many at
-    a time and told apart by the tokens that end a word."""
+    bytes; anything else between two spaces, and whatever could hold a special token, is one piece, for the library to cut. The distinct
+    pieces of a run of texts are found by their bytes; each is encoded by the library and remembered, a bounded number of them, in flat arrays. Pieces
+    of letters are encoded many at a time and told apart by the tokens that end a word.
 
-    def __init__(self, path: str, end_id: int | None = None):
+    As the library does, a special token's string in a text becomes that token; with ``special_as_text`` it is ordinary text."""
+
+    def __init__(self, path: str, end_id: int | None = None, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a worker
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        if special_as_text:
+            self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -72,73 +79,79 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
-        self.start, self.size = np.zeros(1, np.int64), np.array([len(self.last)])  # piece 0 ends a text
-        self.flat, self.used = np.concatenate([self.last, np.zeros(1 << 16, "<u4")]), len(self.last)
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ids_of(self, pieces_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of these pieces, where each piece's begin, and how many it has."""
-        plain = np.array([w.isalpha() and (w.isascii() or w.lower().isalpha()) for w in pieces_], bool)
-        flat, size = [], np.zeros(len(pieces_), np.int64)
-        letters, order = np.flatnonzero(plain), []
-        for i in range(0, len(letters), 4096):
-            some = letters[i : i + 4096]
-            (ids,) = self._library([" ".join([pieces_[k] for k in some.tolist()])])
-            end = np.flatnonzero(self.ends[ids]) + 1
-            if len(end) != len(some):
-                plain[some] = False
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of remembered pieces, by hash
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(2, np.int64)  # piece i is text[text_at[i]:text_at[i + 1]]
+        self.ids, self.ids_at = self.last, np.array([0, len(self.last)])  # piece 0 ends a text
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, pieces_: list[bytes]) -> list[bytes]:
+        texts, out = [w.decode() for w in pieces_], [b""] * len(pieces_)
+        plain = [w.isalpha() and (w.isascii() or w.lower().isalpha()) for w in texts]
+        letters, rest = [i for i, x in enumerate(plain) if x], [i for i, x in enumerate(plain) if not x]
+        for at in range(0, len(letters), 4096):
+            some = letters[at : at + 4096]
+            (packed,) = self._library([" ".join([texts[i] for i in some])])
+            cut = (4 * np.flatnonzero(self.ends[np.frombuffer(packed, "<u4")]) + 4).tolist()
+            if len(cut) != len(some):
+                rest += some
                 continue
-            size[some] = np.diff(end, prepend=0)
-            flat.append(ids)
-            order.append(some)
-        rest = np.flatnonzero(~plain)
-        found = self._library([pieces_[k] for k in rest.tolist()])
-        size[rest] = [len(x) for x in found]
-        flat += found
-        order = np.concatenate([*order, rest])
-        where = np.empty(len(pieces_), np.int64)
-        where[order] = np.cumsum(size[order]) - size[order]
-        return np.concatenate(flat) if flat else np.zeros(0, "<u4"), where, size
-
-    def _number(self, data, first, end, found, at) -> np.ndarray:
-        """Numbers of the pieces with these sorted distinct hashes; new ones are learnt."""
-        if len(self.hashes) + len(found) > REMEMBERED:
+            for i, x, y in zip(some, [0, *cut], cut):
+                out[i] = packed[x:y]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for i, packed in zip(some, self._library([texts[i] for i in some])):
+                out[i] = packed
+        return out
+
+    def _number(self, distinct: pa.LargeBinaryArray) -> np.ndarray:
+        """Numbers of distinct pieces. A hash finds a remembered piece, its bytes decide; new ones are learnt."""
+        if len(self.text_at) + len(distinct) > REMEMBERED or len(self.text) > REMEMBERED_BYTES:
             self._forget()
+        _, offsets, data = distinct.buffers()
+        edge, data = np.frombuffer(offsets, np.int64)[: len(distinct) + 1], np.frombuffer(data, np.uint8)
+        found = word_hashes(data, edge[:-1], edge[1:])
         slot = np.searchsorted(self.hashes, found)
-        there = np.zeros(len(found), bool)
-        there[slot < len(self.hashes)] = self.hashes[slot[slot < len(self.hashes)]] == found[slot < len(self.hashes)]
-        number = np.zeros(len(found), np.int64)
-        number[there] = self.numbers[slot[there]]
-        new = np.flatnonzero(~there)
+        number = np.full(len(found), -1)
+        held = np.flatnonzero(slot < len(self.hashes))
+        held = held[self.hashes[slot[held]] == found[held]]
+        taken = np.zeros(len(found), bool)
+        taken[held] = True
+        known = self.numbers[slot[held]]
+        same = equal_slices(data, edge[held], edge[held + 1], self.text, self.text_at[known], self.text_at[known + 1])
+        number[held[same]] = known[same]
+        new = np.flatnonzero(number < 0)
         if len(new):
-            flat, where, size = self._ids_of([data[first[k] : end[k]].tobytes().decode() for k in at[new].tolist()])
-            number[new] = len(self.start) + np.arange(len(new))
-            if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(flat), "<u4")])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.start, self.size = np.concatenate([self.start, self.used + where]), np.concatenate([self.size, size])
-            self.used += len(flat)
-            self.hashes, self.numbers = np.insert(self.hashes, slot[new], found[new]), np.insert(self.numbers, slot[new], number[new])
+            pieces_ = distinct.take(pa.array(new)).to_pylist()
+            ids = self._ids_of(pieces_)
+            number[new] = len(self.text_at) - 1 + np.arange(len(new))
+            grown = lambda at, lengths: np.concatenate([at, at[-1] + np.cumsum(np.fromiter(lengths, np.int64, len(new)))])
+            self.text_at, self.text = grown(self.text_at, map(len, pieces_)), np.concatenate([self.text, np.frombuffer(b"".join(pieces_), np.uint8)])
+            self.ids_at, self.ids = grown(self.ids_at, (len(x) // 4 for x in ids)), np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+            add = new[~taken[new]]
+            add = add[np.unique(found[add], return_index=True)[1]]
+            self.hashes, self.numbers = np.insert(self.hashes, slot[add], found[add]), np.insert(self.numbers, slot[add], number[add])
         return number
 
     def encode_bytes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Ids of each text raw[start:end], and the end id, as little-endian unsigned 32-bit integers; texts lie one after the other."""
         out: list[bytes] = []
-        for i, j in runs_of(starts, ends, 1 << 22):
+        for i, j in runs_of(starts, ends, RUN):
             base = int(starts[i])
             data, first, end = byte_pieces(raw[base : int(ends[j - 1])], starts[i:j] - base, ends[i:j] - base)
-            found, at, each = np.unique(word_hashes(data, first, end), return_index=True, return_inverse=True)
-            number = self._number(data, first, end, found, at)
+            edge = np.concatenate([[0], np.cumsum(end - first)])  # pieces lie close together without the white space between them
+            column = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edge), pa.py_buffer(data[~CUTS[data]])]).dictionary_encode()
+            number = np.concatenate([[0], self._number(column.dictionary)]) if len(first) else np.zeros(1, np.int64)
+            begin, sizes = self.ids_at[number].astype(np.int32), (self.ids_at[number + 1] - self.ids_at[number]).astype(np.int32)
             upto = np.searchsorted(first, ends[i:j] - base)  # pieces before each text's end
-            order = np.insert(number[each], upto, 0)
-            size = self.size[order]
-            edge = np.cumsum(size)
-            ids = self.flat[np.repeat(self.start[order] - edge + size, size) + np.arange(int(edge[-1]))]
+            order = np.insert(column.indices.to_numpy() + 1, upto, 0)
+            size = sizes[order]
+            edge = np.cumsum(size, dtype=np.int64)
+            place = np.repeat((begin[order] - edge + size).astype(np.int32), size)
+            place += np.arange(len(place), dtype=np.int32)
+            packed = self.ids[place].tobytes()
             cut = [0, *(4 * edge[upto + np.arange(len(upto))]).tolist()]
-            packed = ids.tobytes()
             out += [packed[cut[k] : cut[k + 1]] for k in range(len(upto))]
         return out
 
@@ -146,6 +159,19 @@ class Encoder:
         return self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))
 
 
+def equal_slices(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether a[start:end] and b[start:end] hold the same bytes, for each pair of slices; none is empty."""
+    same = (a_end - a_start) == (b_end - b_start)
+    at = np.flatnonzero(same)
+    if len(at):
+        n = a_end[at] - a_start[at]
+        edge = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(edge, n)
+        apart = a[np.repeat(a_start[at], n) + step] != b[np.repeat(b_start[at], n) + step]
+        same[at] = ~np.logical_or.reduceat(apart, edge)
+    return same
+
+
 def byte_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes with lowered letters, first bytes, ends) of the pieces of texts."""
     after_c3 = np.concatenate([[False], raw[:-1] == 0xC3])
@@ -154,6 +180,7 @@ def byte_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     data = np.where(capital, raw + np.uint8(0x20), data)
     first, end = word_bounds(data, starts, ends, CUTS)
     odd = ODD[raw] | (after_c3 & ((raw == 0x97) | (raw == 0xB7)))
+    odd[1:] |= (raw[1:] == 0x7C) & (raw[:-1] == 0x3C)  # <| may begin a special token
     if odd.any():
         count = np.concatenate([[0], np.cumsum(odd)])
         strange = (count[end] > count[first]).astype(np.int8)
@@ -161,6 +188,7 @@ def byte_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         mark[first] += strange
         mark[end] -= strange
         whole = np.cumsum(mark[:-1], dtype=np.int8) > 0
+        data = np.where(whole, raw, data)  # the library lowers it
     else:
         whole = np.zeros(len(raw), bool)
     kind = KIND[data]
@@ -176,11 +204,12 @@ def byte_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return data, at, edges[np.searchsorted(edges, at, "right")]
 
 
-def encoder(path: str, end_id: int | None) -> Encoder:
+def encoder(path: str, end_id: int | None, special_as_text: bool = False) -> Encoder:
     """One encoder per worker process."""
-    if (path, end_id) not in _tokenizers:
-        _tokenizers[path, end_id] = Encoder(path, end_id)
-    return _tokenizers[path, end_id]
+    key = path, end_id, special_as_text
+    if key not in _tokenizers:
+        _tokenizers[key] = Encoder(*key)
+    return _tokenizers[key]
 
 
 def frame_of(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple[bytes, int, int]:
@@ -262,9 +291,9 @@ def _write(folder: str):
         part = first.column("part")[0].as_py()  # a partition is one file, written as its rows stream by
         rows = (r for b in chain([first], batches) for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "frame", "size", "check"))))
         name = f"{folder}/tokens-{part:07d}.zst"
-        done = {}
-        publish(name, lambda out: done.update(n=write_frames(out, rows)))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": pa.array([name]), "documents": pa.array([done["n"][0]], pa.int64()), "tokens": pa.array([done["n"][1]], pa.int64())})
+        with publishing(name) as out:
+            documents, tokens = write_frames(out, rows)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": pa.array([name]), "documents": pa.array([documents], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
     return run
 
@@ -272,11 +301,10 @@ def _write(folder: str):
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> DataFrame:
     """Writes the files and returns their list: part, path, documents, tokens, start (tokens in all files before)."""
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bounds = id_bounds(narrow, "doc_id", pieces(docs.sparkSession))
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket(F.col("doc_id"), bounds) + 1).cast("int")
+    part, count = ranges_of(narrow, "doc_id", [F.col("text")], DOCUMENTS)
     # Frames are made before the shuffle: they are what moves, a third of the ids' bytes.
     frames = narrow.select(part.alias("part"), "doc_id", "text").mapInArrow(_encode(tokenizer, end_id), "part int, doc_id long, frame binary, size long, check long")
-    dealt = frames.repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "frame")
+    dealt = frames.repartitionById(count, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "frame")
     files = keep(dealt.mapInArrow(_write(folder), "part int, path string, documents long, tokens long"), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -286,17 +314,18 @@ def _read(batches):
     for b in batches:
         for path, at in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
             files, name = filesystem(path)
-            docs, starts, sizes, sums = [], [], [], []
             with files.open_input_file(name) as f:
                 frames = FrameFile(f)
-                for i, doc in enumerate(frames.doc_ids):
-                    raw = frames.read(i)
-                    docs.append(doc)
-                    starts.append(at)
-                    sizes.append(len(raw) // 4)
-                    sums.append(zlib.crc32(raw))
-                    at += len(raw) // 4
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
+                for i in range(0, len(frames), 4096):
+                    docs, starts, sizes, sums = [], [], [], []
+                    for k in range(i, min(i + 4096, len(frames))):
+                        raw = frames.read(k)
+                        docs.append(frames.doc_ids[k])
+                        starts.append(at)
+                        sizes.append(len(raw) // 4)
+                        sums.append(zlib.crc32(raw))
+                        at += len(raw) // 4
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
 
 
 def read_digests(files: DataFrame) -> DataFrame:
