@@ -2,13 +2,14 @@
 
 ``write_archive`` stores pages as WARC/1.0 ``resource`` records, one gzip member each, in files by range of page_id. Each file has
 a Merkle tree over its records in order of offset: a leaf hashes the record's range (offset, length) and its stored
-bytes, a node its two children; an odd node goes up as it is. Trees are kept apart from the files.
+bytes, a node its two children; an odd node goes up as it is. Trees are kept apart from the files. Files number with the records,
+so that what a task holds of one is bounded; records themselves stream by.
 
 ``audit`` hashes a replica's files at the recorded ranges, file by file and a record at a time, compares the roots, and only for files
 whose roots differ goes down the tree, only into branches that differ, to the damaged records.
 
 Defined cases: a null html is an empty payload; a null url leaves out its header line, and line ends in one are
-percent-encoded; null page_ids come first; rows that repeat a page_id are records of their own, in order of their digests; an
+percent-encoded; null page_ids come first, in files of their own; rows that repeat a page_id are records of their own, in order of their digests; an
 empty table writes no file and gives an empty result; a replica without a file, or that ends early, has its records
 ``missing``; other columns of the input are ignored; payloads of any length are stored whole.
 """
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.ordering import bucket, id_bounds, pieces
-from tilewright.llm.shared import filesystem, fresh_path, keep, publish
+from tilewright.llm.ordering import pieces, ranges_of
+from tilewright.llm.shared import filesystem, fresh_path, keep, publishing
 
 #: Fixed value: the date of all records, so that archives are the same on every run.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
+#: Records of a file, about: a task holds 64 bytes of tree and 16 of ranges for each.
+RECORDS = 1 << 16
 
 MANIFEST = "part int, path string, seq int, page_id long, offset long, length long, n_bytes long, record_sha256 string, tree binary"
 
@@ -100,39 +103,40 @@ def _pack(batches):
 
 
 def _write(folder: str):
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    names = [c.split()[0] for c in MANIFEST.split(", ")]
+    listed = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
     def run(batches):
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
         if first is None:
             return
         part = first.column("part")[0].as_py()
-        name, rows, leaves = f"{folder}/pages-{part:07d}.warc.gz", [], []
-
-        def write(out):
-            at = 0
+        name, rows, leaves, at = f"{folder}/pages-{part:07d}.warc.gz", [], [], 0
+        with publishing(name) as out:
             for b in chain([first], batches):
+                if rows:
+                    yield listed(rows)
+                rows = []
                 for page, stored, size, sha in zip(*(b.column(c).to_pylist() for c in ("page_id", "stored", "n_bytes", "record_sha256"))):
                     out.write(stored)
+                    rows.append((part, name, len(leaves), page, at, len(stored), size, sha, None))
                     leaves.append(leaf(at, stored, len(stored)))
-                    rows.append((part, name, len(rows), page, at, len(stored), size, sha, None))
                     at += len(stored)
-
-        publish(name, write)
-        rows[0] = (*rows[0][:-1], pack_tree(levels(leaves)))
-        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in MANIFEST.split(", ")])
+        rows[-1] = (*rows[-1][:-1], pack_tree(levels(leaves)))
+        yield listed(rows)
 
     return run
 
 
 def write_archive(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the files; returns the manifest, a row a record; the first record of a file carries its tree."""
+    """Writes the files; returns the manifest, a row a record; the last record of a file carries its tree."""
     narrow = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    bounds = id_bounds(narrow, "page_id", pieces(pages.sparkSession))
-    part = F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(bucket(F.col("page_id"), bounds) + 1).cast("int")
+    part, count = ranges_of(narrow, "page_id", [F.col("url"), F.col("html")], RECORDS)
     # Records are compressed before the shuffle, which moves less.
     stored = narrow.select(part.alias("part"), "page_id", "url", "html").mapInArrow(_pack, "part int, page_id long, stored binary, n_bytes long, record_sha256 string")
-    dealt = stored.repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("page_id"), "record_sha256")
+    dealt = stored.repartitionById(count, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("page_id"), "record_sha256")
     return keep(dealt.mapInArrow(_write(folder), MANIFEST), "warc-manifest")
 
 
@@ -156,18 +160,15 @@ def replicate(manifest: DataFrame, folder: str, damaged: Column) -> int:
             for path, flips in zip(b.column("path").to_pylist(), b.column("flips").to_pylist()):
                 fs, name = filesystem(path)
 
-                def write(out, fs=fs, name=name, flips=flips):
-                    with fs.open_input_file(name) as f:
-                        at, size, k = 0, f.size(), 0
-                        while at < size:
-                            data = bytearray(f.read(min(1 << 20, size - at)))
-                            while k < len(flips) and flips[k] < at + len(data):
-                                data[flips[k] - at] ^= 0x20
-                                k += 1
-                            out.write(bytes(data))
-                            at += len(data)
-
-                publish(_place(folder, path), write)
+                with fs.open_input_file(name) as f, publishing(_place(folder, path)) as out:
+                    at, size, k = 0, f.size(), 0
+                    while at < size:
+                        data = bytearray(f.read(min(1 << 20, size - at)))
+                        while k < len(flips) and flips[k] < at + len(data):
+                            data[flips[k] - at] ^= 0x20
+                            k += 1
+                        out.write(bytes(data))
+                        at += len(data)
             yield pa.RecordBatch.from_pydict({"copied": pa.array([b.num_rows], pa.int64())})
 
     spread = files.repartition(pieces(manifest.sparkSession), "part").select("path", "flips")
