@@ -57,9 +57,11 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 
 
 def _grams(urls: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a character of ``lm``: the character with the ORDER before it (a start is padded with U+0002)."""
-    padded = F.concat(F.lit("\u0002" * ORDER), "lm")
-    return urls.where("lm <> ''").select(*columns, F.explode(F.transform(F.sequence(F.lit(1), F.length("lm")), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))).alias("g"))
+    """One row a character of ``lm``: the character with the ORDER before it (a start is padded with U+0002). The characters are cut apart once, so a long URL costs in proportion to its length."""
+    chars = F.split(F.concat(F.lit("\u0002" * ORDER), "lm"), "")
+    zipped = F.arrays_zip(*[F.slice(chars, k + 1, F.length("lm")).alias(f"c{k}") for k in range(ORDER + 1)])
+    rows = urls.where("lm <> ''").select(*columns, F.inline(zipped))
+    return rows.select(*columns, F.concat(*[F.col(c) for c in rows.columns[len(columns) :]]).alias("g"))
 
 
 def gram_scores(urls: DataFrame) -> DataFrame:
