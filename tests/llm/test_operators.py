@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -71,6 +73,11 @@ def test_url_parts(spark):
     assert got[7] == ("org", "", None) and got[8] == ("org", "/es/a", "org/es/")
 
 
+def test_grams_of_wide_characters(spark):
+    got = url_lm._grams(spark.createDataFrame([(1, "é🎉a"), (2, ""), (3, "x")], "id long, lm string"), ["id"]).collect()
+    assert sorted((r["id"], r["g"]) for r in got) == [(1, "\x02\x02\x02é"), (1, "\x02\x02é🎉"), (1, "\x02é🎉a"), (3, "\x02\x02\x02x")]
+
+
 def test_url_models_tell_apart(spark):
     rows = [(i, f"http://site{i}.com/{'good/news' if i % 2 else 'bad/spam'}/{i}") for i in range(400)] + [(1000, "http://other.com/x/good/news/7"), (1001, "http://other.com/x/bad/spam/8")]
     rules = [("allow", "com", "/good"), ("block", "com", "/bad")]
@@ -103,14 +110,80 @@ def test_ownership(spark):
     rows = [(1, f"key {shared} end", "en", "a", 0), (2, f"key {shared} end", "en", "b", 0), (3, f"key {own} end", "en", "a", 0), (4, f"key {own} end", "fr", "a", 0), (5, None, None, None, None)]
     got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(table(spark, rows)).collect()}
     assert got == {1: "", 2: "", 3: f"owned:4:{4 + len(own)}", 4: f"owned:4:{4 + len(own)}", 5: ""}
+    wide = "Rw4Et5Yu6Io7Pa8Sd9Fg0"  # one owner, but three repositories
+    some = [(10 + i, f"key {wide} end", lang, "a", 0) for i, lang in enumerate(["en", "fr", None])]
+    assert {r["spans"] for r in secrets.find_secrets(table(spark, some)).collect()} == {""}
+    assert {r["spans"] for r in secrets.find_secrets(table(spark, some[:2])).collect()} == {f"owned:4:{4 + len(wide)}"}
     red = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact_secrets(table(spark, [*rows, (6, 'x token = "abcdefgh" y', "en", "a", 22)])).collect()}
     assert red[3][0] == "key <owned> end" and red[1][0] == f"key {shared} end" and red[5] == (None, None)
     assert red[6] == ('x <assign>" y', 13)
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_redaction_by_row(spark, monkeypatch, most):
+    """Texts that share a doc_id or have none, copies, and columns of any name: each text is cut at its own spans."""
+    monkeypatch.setattr(secrets, "MAX_BROADCAST_ROWS", most)
+    r = random.Random(3)
+    token = lambda: "aB1cD2" + "".join(r.choice("abcDEF123") for _ in range(20))
+    tokens = [token() for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [r.choice(["plain words", "token = 12345678", tokens[r.randrange(12)], "é🎉", "\n"]) for _ in range(r.randint(0, 6))]
+        rows.append((r.choice([None, 1, 1, 2, i]), " ".join(parts), r.choice(["en", "fr", "de", None]), r.choice(["a", "b"]) if i % 3 else "a", 5))
+    rows += [rows[0], (None, None, None, None, None), (7, "", "en", "a", 0)]
+    held = {}
+    for _, t, lang, source, _ in rows:
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
+            held.setdefault(m[0], set()).add((source, lang))
+    live = {v for v, where in held.items() if len({s for s, _ in where}) == 1 and len(where) <= 2}
+
+    def cut(t):
+        if not t:
+            return t
+        out, at = "", 0
+        for s, k, e, v in secrets.find_spans(t):
+            if e > at and (k < 3 or v in live):
+                out, at = out + t[at:max(s, at)] + (f"<{secrets.KINDS[k]}>" if s >= at else ""), e
+        return out + t[at:]
+
+    df = table(spark, rows).withColumn("text_key", F.lit("x")).withColumn("live_values", F.lit(1)).withColumn("value", F.lit(2))
+    got = secrets.redact_secrets(df)
+    assert got.columns == df.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=repr) == sorted(((d, cut(t)) for d, t, *_ in rows), key=repr)
+    assert live and len(live) < len(held)
+    assert sorted((x["doc_id"], x["text"]) for x in secrets.redact_secrets(df.drop("n_chars").where("doc_id = 2")).collect()) is not None
+
+
+def test_long_text_spans():
+    t = " ".join("0123456789abcdef0123456789abcdef aB1cD2eF3gH4iJ5kL6mN7" for _ in range(20_000))
+    spans = secrets.find_spans(t)  # linear: base spans and runs are merged
+    assert len(spans) == 40_000 and sum(k == 3 for _, k, _, _ in spans) == 20_000
+
+
 # 3
 
 
+def sentence_counts(text):
+    return Counter(s for p in (text or "").split("\n") if p.strip() for s in p.split(". "))
+
+
+def true_likeness(a, b):
+    x, y = sentence_counts(a), sentence_counts(b)
+    return 2 * sum((x & y).values()) / sum((x + y).values()) if x or y else 1.0
+
+
+def test_likeness_counts_repeats():
+    r = random.Random(6)
+    v = lambda t: multiset_hash.vector(multiset_hash.paragraphs(t))
+    pairs = [("x\n" * 65536, "x\n" * 65537), ("a line\n" * 100 + "\n".join(f"p{i}" for i in range(50)), "a line\n" * 100 + "\n".join(f"q{i}" for i in range(50))), ("", "\n \n")]
+    for _ in range(200):
+        base = [f"word{r.randrange(50)}" for _ in range(r.randint(1, 200))]
+        other = [x if r.random() < 0.7 else f"other{r.randrange(50)}" for x in base]
+        pairs.append(("\n".join(base), "\n".join(other)))
+    off = [abs(true_likeness(a, b) - multiset_hash.likeness(v(a), v(b))) for a, b in pairs]
+    assert max(off) < 0.3 and sum(off) / len(off) < 0.06 and off[0] < 0.001 and off[1] < 0.15 and off[2] == 0
+
+
 def test_multiset_hash():
     r = random.Random(1)
     lines = [" ".join(r.choice("abcdefgh") * 3 for _ in range(9)) + "." for _ in range(40)]
@@ -140,7 +213,22 @@ def test_edited_texts(spark, n):
         h = len(t) // 2
         assert got[i]["n_chars"] == len(t)
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()
-        assert got[i]["near_next"] == multiset_hash.likeness(*[multiset_hash.vector(multiset_hash.paragraphs(x)) for x in (t, nxt)])
+        edited = t[: len(t) - h] + nxt[:h]
+        for column, text in (("fingerprint", t), ("edited_fingerprint", edited)):
+            words, counters = multiset_hash.parse(got[i][column])
+            parts = [p for p in text.split("\n") if p.strip()]
+            for k in range(8):
+                assert int(words[k]) == sum(int.from_bytes(hashlib.blake2b(p.encode(), digest_size=64).digest()[8 * k : 8 * k + 8], "little") for p in parts) % 2**64
+            assert int(words[8]) == sum(sentence_counts(text).values()) and len(counters) == multiset_hash.COUNTERS
+        assert abs(got[i]["near_next"] - true_likeness(t, nxt)) < 0.35 and abs(got[i]["near_edited"] - true_likeness(t, edited)) < 0.35
+        assert (got[i]["near_next"] == 1) == (true_likeness(t, nxt) == 1)
+
+
+def test_edited_texts_against_sql(spark, sf, duck):
+    """The two columns of the query that SQL can express, over the whole table."""
+    sql = """with d as (select doc_id, coalesce(text, '') as t, coalesce(lead(coalesce(text, '')) over w, first_value(coalesce(text, '')) over w) as n from documents window w as (order by doc_id desc))
+    select doc_id, length(t) as n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(n, 1, length(t) // 2)) as edited_sha256 from d"""
+    assert_same(queries.op3_multiset_fingerprint(spark, sf).select("doc_id", "n_chars", "edited_sha256"), duck, sql)
 
 
 # 4
@@ -164,6 +252,20 @@ def test_byte_bpe_equals_tiktoken(spark):
     assert back == {i: t or "" for i, t in enumerate(texts[:50] + [None])}
 
 
+def test_long_pieces():
+    """Against the library on pieces far beyond LONGEST, and with one merge a round against many."""
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    bpe = byte_bpe.codec(path, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    r = random.Random(5)
+    pieces = ["".join(r.choice(s) for _ in range(n)) for s in ("abc", "etaoinshr", "ab", "é漢字x") for n in (513, 2000, 9000)] + ["a" * 5001, "the" * 3000, " " + "x" * 4000]
+    pieces += ["".join(r.choice(["ation", "ing", "er", "tion", "s", "Q", "in"]) for _ in range(1500)) for _ in range(4)]
+    for piece in pieces:
+        assert bpe.merge_long(piece.encode()).tolist() == enc._encode_single_piece(piece.encode())
+
+
 # 5
 
 
@@ -184,11 +286,44 @@ def test_top_k(spark, seed, spread):
     assert got == sorted(want)
 
 
+def test_top_k_takes_segments_until_proof():
+    r = np.random.default_rng(5)
+    v = np.floor(256 * r.normal(size=(4000, 16)))
+    v[:20] = np.floor(v[20] * 3 + r.normal(size=(20, 16)))  # a few stand out
+    index = impact_topk.Index(np.arange(4000), v)
+    known, s = index.top(v[0], 0, 5), v @ v[0]
+    want = sorted((-int(s[i]), i) for i in range(1, 4000))[:5]
+    assert known == want and 0 < index.taken < 0.8 * index.segments
+    low = impact_topk.Index(np.arange(4000, 4500), np.ones((500, 16)))
+    assert low.top(v[0], 0, 5, known) == known and low.taken == 0  # no vector of the block can reach what is known
+
+
+@pytest.mark.parametrize("size", [1e4, 1e6, 1e9, 1e30])
+def test_top_k_of_large_components(spark, size):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(120, 6)) * size
+    v[3:9] = v[2]
+    df = impact_topk.integer_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in impact_topk.top_k(df, F.col("vec_id") % 10 == 0, 5, block=32, query_block=8).collect())
+    m = [[math.floor(256 * x) for x in row] for row in v.tolist()]
+    want = []
+    for q in range(0, 120, 10):
+        s = [sum(a * b for a, b in zip(m[q], row)) for row in m]
+        order = sorted((i for i in range(120) if i != q), key=lambda i: (-min(s[i], 2**63 - 1), i) if size < 1e9 else (-s[i], i))[:5]
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, s[i]))) for k, i in enumerate(order)]
+    if size < 1e9:
+        assert got == sorted(want)
+    else:  # beyond a long's range only the shown scores are alike
+        assert [(q, k, s) for q, k, _, s in got] == [(q, k, s) for q, k, _, s in sorted(want)]
+
+
 def test_top_k_edges(spark):
-    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (None, [1.0, 1.0]), (7, [1e30, 1.0]), (5, [1.0])]
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (None, [1.0, 1.0]), (7, [-1e30, 1.0]), (5, [1.0])]
     df = impact_topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
     got = [(x["rank"], x["vec_id"], x["score"]) for x in impact_topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
-    assert got == [(1, 5, 65536), (2, 5, 65536), (3, 6, 0)]
+    assert got == [(1, 5, 65536), (2, 5, 65536), (3, 6, 0), (4, 7, -(2**63))]
+    other = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "vec_id long, embedding array<float>").selectExpr("*", "1 as size", "2 as v", "3 as cb", "4 as qb", "5 as copy", "6 as rank", "7 as score")
+    assert impact_topk.top_k(impact_topk.integer_vectors(other, "vec_id", "embedding"), F.col("vec_id") == 2).count() == 5
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert impact_topk.top_k(impact_topk.integer_vectors(none, "vec_id", "embedding"), F.col("vec_id") == 0).count() == 0
 
@@ -206,6 +341,50 @@ def test_quality_held_out(spark):
     assert right > 0.9 and sum(r["predicted"] for r in good) / len(good) > 0.93
 
 
+def test_risk_and_slope():
+    """Against the risk by its definition, and its slope by differences."""
+    r = np.random.default_rng(1)
+    p, u, w, prior = r.normal(size=(30, 5)), r.normal(size=(40, 5)), r.normal(size=5), 0.3
+
+    def risk(w):
+        loss = lambda x, y: 1 / (1 + math.exp(y * float(x @ w)))
+        rp, rn = sum(loss(x, 1) for x in p) / 30, sum(loss(x, -1) for x in p) / 30
+        return prior * rp, sum(loss(x, -1) for x in u) / 40 - prior * rn
+
+    up, down, slope_up, slope_down = pu_quality.risk_and_slope(w, p, u, prior)
+    assert (up, down) == pytest.approx(risk(w))
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        a, b = risk(w + step), risk(w - step)
+        assert ((a[0] - b[0]) / 2e-6, (a[1] - b[1]) / 2e-6) == pytest.approx((slope_up[i], slope_down[i]), abs=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_prior_and_posterior_without_negative_labels(prior):
+    r = np.random.default_rng(2)
+    draw = lambda n, mean: r.normal(mean, 1, n)
+    p = draw(3000, 3.0)
+    mine = r.random(3000) < prior
+    u = np.where(mine, draw(3000, 3.0), draw(3000, -3.0))
+    assert abs(pu_quality.estimate_prior(p, u) - prior) < 0.05
+    places, chances = pu_quality.posterior(p, u, prior)
+    assert (np.diff(places) >= 0).all() and (np.diff(chances) >= -1e-12).all() and chances.min() >= 0 and chances.max() <= 1
+    told = np.interp(u, places, chances)
+    assert ((told >= 0.3) == mine).mean() > 0.98 and abs(told.mean() - prior) < 0.05
+    # the rising function of least risk, by trying steps: one threshold can't do better
+    risk = lambda f: (f(u) ** 2).mean() / 2 - prior * f(p).mean()
+    best = risk(lambda x: np.interp(x, places, chances))
+    assert all(risk(lambda x, t=t, c=c: np.where(x >= t, c, 0.0)) >= best - 1e-3 for t in np.linspace(-5, 5, 41) for c in (0.2, 0.5, 0.9, 1.0))
+
+
+def test_quality_of_repeated_ids(spark):
+    """A doc_id that a third of all rows share is one row of the sample."""
+    rows = [(1, f"text number {i} of many", "en", "s", 1) for i in range(300)] + [(i, "some words " * (i % 9), "en", "s", 1) for i in range(2, 100)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 100)], "doc_id long, quality int, toxic int")
+    got = pu_quality.score(table(spark, rows), pu_quality.train(table(spark, rows), labels, sample=50))
+    assert got.count() == 398
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in pu_quality.score(odd_docs(spark), pu_quality.train(odd_docs(spark), none)).collect()} == {0.5}
@@ -288,6 +467,16 @@ def test_sketch_bounds_difference():
         assert not same or parity_join._could_link(len(a), x, len(b), y)
 
 
+def test_sets_of_few_classes_share_a_key(monkeypatch):
+    """With far too few classes all of them may differ; such documents still meet."""
+    monkeypatch.setattr(parity_join, "classes_of", lambda band: 3)
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 2**64, 60, dtype=np.uint64))
+        b = np.unique(np.concatenate([r.permutation(a)[4:], r.integers(0, 2**64, 5, dtype=np.uint64)]))
+        assert set(parity_join.keys_of(a).tolist()) & set(parity_join.keys_of(b).tolist())
+
+
 def test_linked_sets_share_a_key():
     r = np.random.default_rng(3)
     for _ in range(1500):
@@ -360,20 +549,71 @@ def test_mix_takes_its_targets(spark):
     assert all(abs(c["n"] - by[c["source"]][2]) <= 30 for c in copies)
 
 
+def test_slices_are_even(spark):
+    """No slice of a source takes much more than its share, whatever the weights of the rows."""
+    for w in (1.0, 0.5, 0.3, 0.07, 0.05):
+        key = -np.log((np.arange(100_000) + 0.5) / 100_000) / w
+        place = np.floor(sum(1 - np.exp(-key * x) for x in mixing.SPREAD) / len(mixing.SPREAD) * mixing.SLICES)
+        assert np.bincount(place.astype(int)).max() <= 7 * 100_000 / mixing.SLICES
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(None, f"w {'x ' * i}", "en", "a", 0) for i in range(30)] + [(5, f"v {'y ' * (i % 7)}", "en", "b", 0) for i in range(30)] + [(i, "one two three", "en", "c", 0) for i in range(100, 120)] + [(None, None, None, None, None)]
+    df = table(spark, rows).selectExpr("*", "1 as copies", "2 as each_copy", "3 as mixed_id", "4 as mixed_rank", "5 as mixed_size", "6 as slice", "7 as mixed", "8 as range_")
+    got = mixing.repeat_documents(df)
+    assert got.columns == df.columns
+    words = {}
+    for x in got.collect():
+        words[x["source"]] = words.get(x["source"], 0) + len((x["text"] or "").split())
+    t = {x["source"]: x["target"] for x in mixing.targets(df.select("source", mixing.word_count(F.col("text")).alias("size"))).collect()}
+    assert all(abs(words[s] - t[s]) <= 31 for s in t)
+    assert mixing.repeat_documents(df.where("false")).count() == 0
+
+
+def test_running_sums(spark):
+    r = random.Random(1)
+    rows = [(r.choice("abcdefgh") * r.randint(1, 3) + str(i), r.randrange(100)) for i in range(300)] + [(None, 5)]
+    got = mixing.running(spark.createDataFrame(rows, "k string, n long"), [F.asc_nulls_last("k")], {"sum": F.col("n"), "place": F.lit(1)}).collect()
+    total = 0
+    for i, x in enumerate(sorted(got, key=lambda x: (x["k"] is None, x["k"]))):
+        assert (x["sum"], x["place"]) == (total, i)
+        total += x["n"]
+
+
 # 9
 
 
-def test_encoder_equals_library():
+def test_encoder_equals_library(monkeypatch):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     r = random.Random(2)
-    alphabet = [*"abcde the ing'sTLL019 \n\t\r\x0b\x85\xa0 ÀÉßö×÷é漢字🎉\x1c_-.!?<|>́İſΣǅªʰ", "<|endoftext|>"]
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(4000)] + ["", " ", "\n", "it's. they're!", "K.K!", "İ.", "x" * 3000 + "."]
-    e = token_frames.encoder(path, None)
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    alphabet = [*"abcde the ing'sTLL019 \n\t\r\x0b\x85\xa0 ÀÉßö×÷é漢字🎉\x1c_-.!?<|>́İſΣǅªʰ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(4000)] + ["", " ", "\n", "it's. they're!", "K.K!", "İ.", "x" * 3000 + ".", "hi <|endoftext|> there", "a<|endoftext|>b"]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert any(49407 in x for x in want)
+    for remembered in (token_frames.REMEMBERED, 50):  # the second forgets again and again
+        monkeypatch.setattr(token_frames, "REMEMBERED", remembered)
+        e = token_frames.Encoder(path)
+        for i in range(0, len(texts), 100):
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts[i : i + 100])] == want[i : i + 100]
+    library.encode_special_tokens = True
+    plain = token_frames.Encoder(path, special_as_text=True)
+    assert [np.frombuffer(x, "<u4").tolist() for x in plain.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bytes_decide_where_hashes_collide(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_frames, "word_hashes", lambda data, first, end: (end - first).astype(np.uint64) // np.uint64(4))
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice("abcdeé1!") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    e = token_frames.Encoder(path)
+    for i in range(0, 300, 20):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts[i : i + 20])] == [x.ids for x in library.encode_batch(texts[i : i + 20], add_special_tokens=False)]
 
 
 def test_frames(tmp_path):
@@ -451,7 +691,7 @@ def test_warc_files(spark):
 BPE = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 RUNS = {
     "secrets": lambda d: secrets.find_secrets(d),
-    "redact": lambda d: secrets.redact_secrets(d.select("doc_id", "text", "lang", "source", "n_chars")),
+    "redact": lambda d: secrets.redact_secrets(d),
     "multiset": lambda d: multiset_hash.edited_likeness(d),
     "fingerprints": lambda d: multiset_hash.fingerprints(d),
     "bpe": lambda d: byte_bpe.round_trip_digests(d, *BPE),
@@ -502,7 +742,65 @@ def test_pipeline(spark, sf):
 def test_pipeline_stages_take_odd_rows(spark, sf):
     import corpus_pipeline
 
-    d = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, d, sf).collect()
+    d = odd_docs(spark)
+    for name in ("rank", "copies", "each_copy", "mixed_id", "mixed_rank", "mixed_size", "text_key", "live_values", "kind", "x", "h2"):
+        d = d if name in d.columns else d.withColumn(name, F.lit("x"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, d, sf)
+        rows = got.collect()
+        assert i == 4 or got.columns == d.columns
         assert stage(spark, d.where("false"), sf).count() == 0
+        if i == 1:
+            assert len(rows) == 8
+        if i == 2:
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in d.collect())
+
+
+def test_warc_prunes_whole_branches(spark, monkeypatch):
+    """Of many files one is damaged: only it goes down its tree."""
+    pages = spark.range(0, 4000).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat('x', cast(id % 50 as int)) as html")
+    monkeypatch.setattr(warc_audit, "RECORDS", 100)
+    base = fresh_path(spark, "warc-many")
+    manifest = warc_audit.write_archive(pages, base)
+    files = manifest.select("part").distinct().count()
+    assert files >= 35
+    warc_audit.replicate(manifest, base + "-copy", F.expr("page_id in (1500, 1501)"))
+    theirs = {r["part"]: warc_audit.unpack_tree(r["tree"]) for r in warc_audit.replica_trees(manifest, base + "-copy").collect()}
+    mine = {r["part"]: warc_audit.unpack_tree(r["tree"]) for r in manifest.where("tree is not null").collect()}
+    bad = [p for p in mine if mine[p][0] != theirs[p][0]]
+    assert len(mine) == files and 1 <= len(bad) <= 2
+    assert sum(warc_audit.differing_leaves(mine[p], theirs[p])[1] for p in bad) <= 40
+    assert sorted(r["page_id"] for r in warc_audit.audit(manifest, base + "-copy").where("status <> 'ok'").collect()) == [1500, 1501]
+
+
+def test_null_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(warc_audit, "RECORDS", 50)
+    monkeypatch.setattr(token_frames, "DOCUMENTS", 50)
+    pages = spark.range(0, 600).selectExpr("if(id < 200, null, id) as page_id", "'u' as url", "repeat('x ', cast(id as int)) as html")
+    manifest = warc_audit.write_archive(pages, fresh_path(spark, "warc-null"))
+    assert manifest.count() == 600 and max(r["count"] for r in manifest.groupBy("part").count().collect()) < 150
+    assert manifest.orderBy("part", "seq").where("page_id is null").agg(F.max("part")).first()[0] < manifest.where("page_id is not null").agg(F.min("part")).first()[0]
+    d = pages.selectExpr("page_id as doc_id", "html as text")
+    got = token_frames.write_and_read(d, P.path("word_bpe_49k.json")).orderBy("start").collect()
+    assert len(got) == 600 and got[0]["start"] == 0
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+    assert [r["doc_id"] for r in got] == [None] * 200 + list(range(200, 600))
+
+
+def test_very_long_rows(spark):
+    """A URL and a page of a million characters, and repeated ones."""
+    long = "http://a.com/" + "x/y" * 300_000
+    pages = spark.createDataFrame([(1, long, "<p>" + "z" * 1_000_000), (1, long, "<p>" + "z" * 1_000_000), (2, "http://b.org/es/", "")], "page_id long, url string, html string")
+    got = url_lm.judge_urls(pages, queries.URL_RULES).collect()
+    assert len(got) == 3 and {len(r["path"]) for r in got if r["page_id"] == 1} == {900_001}
+    assert {r["status"] for r in warc_audit.archive_and_audit(pages, F.expr("page_id = 2")).collect()} == {"ok", "corrupt"}
+
+
+def test_kept_tables_are_removed(spark):
+    from tilewright.llm.shared import drop, keep
+
+    df = keep(spark.range(5), "gone")
+    files, path = filesystem(df.inputFiles()[0].rpartition("/")[0])
+    assert files.get_file_info(path).is_file is False and files.get_file_info(path).type.name == "Directory"
+    drop(df)
+    assert files.get_file_info(path).type.name == "NotFound"

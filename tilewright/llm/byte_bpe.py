@@ -2,8 +2,12 @@
 
 A text is cut by the pattern; each distinct piece is a row of a matrix of token ids, padded, with rows of like
 length together. In a round every row merges its leftmost pair of least rank; pairs are looked up in a hash table
-of arrays, rows close up over the merged token, and rows without a pair leave the matrix. Pieces of more than
-``LONGEST`` bytes would make that quadratic and go through a heap with the same rule.
+of arrays, rows close up over the merged token, and rows without a pair leave the matrix. A piece of more than
+``LONGEST`` bytes is a matrix of its own, where one merge a round would be quadratic: there a round merges the places of the
+least rank from left to right, up to the first whose merged token makes a pair of a lesser rank, which comes next. That is the same
+order of merges.
+
+Decoding gives bytes; ``decode`` shows them as text, with the replacement character where token ids cut a character apart.
 
 Defined cases: a null or empty text has no tokens; rows are encoded one by one, repeated ones too; texts of any
 length are encoded whole; an empty table gives an empty result; other columns of the input are ignored.
@@ -13,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ NONE = np.int32(2**31 - 1)
 LONGEST = 512
 CELLS = 1 << 20
 #: Pieces remembered by a worker, and the longest of them; beyond that it forgets and starts again.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+REMEMBERED, REMEMBERED_CHARS = 160_000, 48
 
 
 class ByteBpe:
@@ -124,25 +127,34 @@ class ByteBpe:
                 rank[has, at[has]] = self.lookup(m[has, at[has]], m[has, at[has] + 1])
 
     def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same rule for one long piece: a heap of (rank, place) over a linked list."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, ranks, token = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks, self.token
-        pair = lambda i: ranks.get(token[ids[i]] + token[ids[after[i]]]) if after[i] < n else None
-        heap = [(r, i) for i in range(n - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or pair(i) != r:
-                continue
-            j = after[i]
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        """Token ids of one long piece."""
+        row = self.single[np.frombuffer(piece, np.uint8)]
+        rank = self.lookup(row[:-1], row[1:])
+        while len(rank):
+            best = rank.min()
+            if best == NONE:
+                break
+            at = np.flatnonzero(rank == best)
+            first = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0]  # of places side by side every other one
+            # What each merge would meet: on its left a token, merged or not, on its right one that isn't merged yet.
+            merged = np.full(len(at), best, np.int32)
+            left = np.where(np.concatenate([[False], np.diff(at) == 2]), best, np.where(at > 0, row[at - 1], -1)).astype(np.int32)
+            right = np.where(at + 2 < len(row), row[np.minimum(at + 2, len(row) - 1)], -1).astype(np.int32)
+            urgent = (np.where(left >= 0, self.lookup(left, merged), NONE) < best) | (self.lookup(merged, right) < best)
+            at = at[: int(np.argmax(urgent)) + 1] if urgent.any() else at
+            row[at] = best
+            stay = np.ones(len(row), bool)
+            stay[at + 1] = False
+            row = row[stay]
+            gone = np.ones(len(rank), bool)
+            gone[at] = False
+            rank = rank[gone]
+            new = at - np.arange(len(at))  # where the merged tokens are now
+            near = np.unique(np.concatenate([new - 1, new]))
+            near = near[(near >= 0) & (near < len(rank))]
+            rank[near] = self.lookup(row[near], row[near + 1])
+        return row
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of each distinct piece as little-endian unsigned 32-bit integers."""
@@ -193,7 +205,7 @@ def codec(vocabulary: str, pattern: str) -> ByteBpe:
     return _loaded[vocabulary, pattern]
 
 
-def _groups(texts: list[str], most: int = 1 << 20):
+def _groups(texts: list[str], most: int = 1 << 18):
     i = 0
     while i < len(texts):
         j, size = i + 1, len(texts[i])

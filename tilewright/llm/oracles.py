@@ -58,14 +58,14 @@ def _spans(kind: str, place: int) -> str:
 (select id, unnest({every(1)}) as p, unnest({every(2)}) as m, unnest({every(group)}) as v, unnest(range(1, len({every(2)}) + 1)) as n from d)) where {test}"""
 
 
-OP2 = f"""with d as (select row_number() over () as id, doc_id, source, coalesce(text, '') as text from documents),
+OP2 = f"""with d as (select row_number() over () as id, doc_id, source, lang, coalesce(text, '') as text from documents),
 base as ({' union all '.join(_spans(k, i) for i, k in enumerate(('assign', 'access', 'hex')))}),
 cand as (select c.* from ({_spans('owned', 3)}) c where not exists (select 1 from base b where b.id = c.id and b.s < c.e and c.s < b.e)),
 every_ as (select * from base union all select * from cand),
-owners as (select v, count(distinct coalesce('=' || source, '')) as n from every_ join d using (id) group by v),
-shown as (select * from base union all select c.* from cand c join owners using (v) where n <= 1)
-select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join
-(select id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from shown group by id) using (id)"""
+owners as (select v, count(distinct coalesce('=' || source, '')) <= 1 and count(distinct coalesce('=' || source, '') || chr(1) || coalesce('=' || lang, '')) <= 2 as live from every_ join d using (id) group by v),
+shown as (select e.*, live from every_ e join owners using (v) where k < 3 or live)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from d left join
+(select id, count(*) filter (live) as n_live, count(*) filter (not live) as n_example, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from shown group by id) using (id)"""
 
 OP5 = """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256*cast(x as double)) as bigint)) as v from embeddings
  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
@@ -81,7 +81,7 @@ reach(a, b) as (select doc_id, doc_id from s union select r.a, y.b from reach r
 select n.doc_id, n.n as n_shingles, least(n.doc_id, min(r.b)) as component_id from n join reach r on r.a = n.doc_id group by n.doc_id, n.n"""
 
 OP8 = r"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, coalesce(text, '') as text from documents),
-k as (select doc_id, source, size, -ln((('0x' || substr(sha256(concat('17:', coalesce(cast(doc_id as varchar), ''))), 1, 13))::bigint + 0.5::double)/4503599627370496::double)
+k as (select doc_id, source, size, -ln((('0x' || substr(sha256(concat('17:', coalesce(cast(doc_id as varchar), ''), ':', md5(text))), 1, 13))::bigint + 0.5::double)/4503599627370496::double)
  / greatest(0.05::double, 1::double - (length(text) - length(translate(text, '!"#$%&()*+/:;<=>?@[\]^_`{|}~', '')))::double/greatest(length(text), 1)) as key from d),
 s as (select source, sum(size)::bigint as source_size from k group by source),
 r as (select *, [1, 2, 3][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as integer)] as w from s),
@@ -94,7 +94,7 @@ select doc_id, size, source_size, target, cast(epochs*size + greatest(0, least(s
 
 OP10 = r"""with b as (select page_id, coalesce(html, '') as html, case when url is null then '' else 'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10) end as uri from pages),
 r as (select page_id, concat(replace('WARC/1.0|WARC-Type: resource|', '|', chr(13) || chr(10)), uri, replace(concat('WARC-Date: 2024-01-01T00:00:00Z|WARC-Record-ID: <urn:page:', page_id, '>|Content-Type: text/html|Content-Length: ', strlen(html), '||'), '|', chr(13) || chr(10)), html, chr(13), chr(10), chr(13), chr(10)) as rec from b)
-select page_id, strlen(rec) as n_bytes, sha256(rec) as record_sha256, case when page_id % 97 = 13 then 'corrupt' else 'ok' end as status from r"""
+select page_id, strlen(rec) as n_bytes, sha256(rec) as record_sha256, case when page_id % 1000000 < 5000 and page_id % 97 = 13 then 'corrupt' else 'ok' end as status from r"""
 
 ORACLE_SQL = {
     "op1_url_char_lm": OP1,

@@ -52,7 +52,7 @@ SIMILARITY, WORDS = 80, 5
 #: Sizes below this share a band with 2**20 classes; above, a band's sizes grow by half.
 SMALL = 32
 #: Members of a star that are verified with one copy of the center's text; rows of a block of a hot key.
-STAR_BLOCK, KEY_BLOCK = 500, 512
+STAR_BLOCK, KEY_BLOCK = 128, 512
 #: Rows of ids up to which they are broadcast to the texts (8 to 24 bytes each); beyond, both sides shuffle.
 MAX_BROADCAST_ROWS = 100_000
 #: Key of documents with few classes that aren't empty, in each band.

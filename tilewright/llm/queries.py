@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import byte_bpe, impact_topk, mixing, multiset_hash, parity_join, pu_quality, secrets, token_frames, url_lm, warc_audit
 from tilewright.llm.oracles import ORACLE_SQL  # noqa: F401  the driver reads it here
-from tilewright.llm.shared import texts_in_small_batches
+from tilewright.llm.shared import use_small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in ("documents", "pages"):
-        texts_in_small_batches(spark)
+        use_small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,7 +35,7 @@ def op1_url_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 
 def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,9 @@ def op9_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-#: Records of the replica that are damaged on purpose, for the audit to find.
-DAMAGED = "page_id % 97 = 13"
+#: Records of the replica that are damaged on purpose, for the audit to find: some 50 together in each million, so that at any
+#: size most files are whole and most branches of the others are.
+DAMAGED = "page_id % 1000000 < 5000 and page_id % 97 = 13"
 
 
 def op10_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and is computed once."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,7 +67,7 @@ def unused(df: DataFrame, name: str) -> str:
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch, on both sides of the pipe to a Python worker; a longer row is a batch of its own. Spark's
 #: default of 64 MB, several times over in each of two workers, would fill a small executor.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 @contextmanager

@@ -36,11 +36,11 @@ from tilewright.llm.shingles import LOWER, word_bounds, word_hashes
 SEEK_MAGIC, TABLE_MAGIC, FOOT_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 LEVEL = 1
 #: Pieces that a worker remembers (some 60 bytes each), and bytes of theirs; beyond that it forgets and starts again.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 1 << 24
+REMEMBERED, REMEMBERED_BYTES = 800_000, 1 << 24
 #: Documents of a file, about; what a reader holds of a file is its tables, 21 bytes a document.
 DOCUMENTS = 1 << 18
 #: Bytes of the texts that are cut into pieces at once; a longer text stands alone.
-RUN = 1 << 22
+RUN = 1 << 21
 #: Bytes that part a text, bytes that only the library can judge, and kinds of the others.
 CUTS, ODD = np.zeros(256, bool), np.zeros(256, bool)
 CUTS[[0x20, 0x0A]] = True
@@ -182,7 +182,7 @@ def byte_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     odd = ODD[raw] | (after_c3 & ((raw == 0x97) | (raw == 0xB7)))
     odd[1:] |= (raw[1:] == 0x7C) & (raw[:-1] == 0x3C)  # <| may begin a special token
     if odd.any():
-        count = np.concatenate([[0], np.cumsum(odd)])
+        count = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)], dtype=np.int32)
         strange = (count[end] > count[first]).astype(np.int8)
         mark = np.zeros(len(raw) + 1, np.int8)
         mark[first] += strange
