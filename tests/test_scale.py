@@ -5,7 +5,7 @@ import pytest
 from tilewright.plans import registry
 
 
-@pytest.mark.parametrize("name", ["candidates_filtered", "thumb_tissue_ratio"])
+@pytest.mark.parametrize("name", ["candidates_filtered", "thumb_tissue_ratio", "offset_search"])
 def test_generated_rows_are_not_broadcast(name, spark, sf):
     """A few slides or vectors make many rows, which Spark's estimates don't see."""
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -95,10 +95,11 @@ def seams(pixels: DataFrame, key: str, at: list[int], band: int, size: int, labe
 
 
 def offset_search(truth: DataFrame, told: DataFrame, key: str, reach: int) -> DataFrame:
-    """Agreement of a mask with another at every shift up to reach: shifted rows meet by an equal join, counts are combined before the shuffle."""
+    """Agreement of a mask with another at every shift up to reach: shifted rows meet by an equal join, counts are combined before the shuffle.
+    Both sides are often generated, which Spark's size estimates don't see, so a broadcast is ruled out."""
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
     moved = told.select(key, "y", "x", F.col("label").alias("told"), F.explode(steps).alias("s")).select(key, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "told", "s.dy", "s.dx")
-    both = truth.select(key, "y", "x", F.col("label").alias("truth")).join(moved, [key, "y", "x"])
+    both = truth.select(key, "y", "x", F.col("label").alias("truth")).join(moved.hint("merge"), [key, "y", "x"])
     return both.groupBy(key, "dy", "dx").agg(F.count(F.lit(1)).alias("compared"), F.avg((F.col("truth") == F.col("told")).cast("double")).alias("agreement"))
 
 
