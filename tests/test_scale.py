@@ -1,12 +1,31 @@
 """Queries on tables that are larger than their files look, or have longer numbers, than those of the other tests."""
 
+import os
+
+import duckdb
 import pytest
 
+from tests.oracle import assert_same
 from tilewright.plans import registry
 
 
+@pytest.fixture(scope="module")
+def late(sf, tmp_path_factory):
+    """A folder whose parts are numbered beyond a million, where several share an id of six places, and its SQL."""
+    d, c = str(tmp_path_factory.mktemp("late")), duckdb.connect()
+    for name, far in (("supplier", "*"), ("lineitem", "* replace (l_partkey + 1000000 as l_partkey)")):
+        c.execute(f"copy (select {far} from '{sf}/{name}.parquet') to '{os.path.join(d, name)}.parquet' (format parquet)")
+        c.execute(f"create view {name} as select * from '{os.path.join(d, name)}.parquet'")
+    return d, c
+
+
 @pytest.mark.parametrize("name", ["candidates_filtered", "thumb_tissue_ratio", "offset_search"])
 def test_generated_rows_are_not_broadcast(name, spark, sf):
     """A few slides or vectors make many rows, which Spark's estimates don't see."""
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["interpretation"])
+def test_parts_beyond_a_million(name, spark, late):
+    assert_same(registry.QUERIES[name](spark, late[0]), late[1], registry.ORACLES[name])
