@@ -26,6 +26,6 @@ def test_generated_rows_are_not_broadcast(name, spark, sf):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["interpretation", "metric_table", "pool_key_set_equal", "selected_stats", "untraceable_selected", "pool_multiset_equal", "recovered_ids", "selection_overlap", "spatial_metrics", "region_clamped"])
+@pytest.mark.parametrize("name", ["interpretation", "metric_table", "pool_key_set_equal", "selected_stats", "untraceable_selected", "pool_multiset_equal", "recovered_ids", "selection_overlap", "spatial_metrics", "region_clamped", "region_context"])
 def test_parts_beyond_a_million(name, spark, late):
     assert_same(registry.QUERIES[name](spark, late[0]), late[1], registry.ORACLES[name])
