@@ -26,6 +26,14 @@ def test_generated_rows_are_not_broadcast(name, spark, sf):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["interpretation", "metric_table", "pool_key_set_equal", "selected_stats", "untraceable_selected", "pool_multiset_equal", "recovered_ids", "selection_overlap", "spatial_metrics", "region_clamped", "region_context"])
+@pytest.mark.parametrize("name", ["interpretation", "metric_table", "pool_key_set_equal", "region_clamped", "selected_stats", "untraceable_selected", "pool_multiset_equal", "recovered_ids", "region_context", "selection_overlap", "spatial_metrics"])
 def test_parts_beyond_a_million(name, spark, late):
     assert_same(registry.QUERIES[name](spark, late[0]), late[1], registry.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["embed_quota", "gated_embed"])
+def test_vectors_are_not_written_for_each_tile(name, spark, sf):
+    """Only narrow rows are exchanged after the vectors have come to their tiles."""
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("FlatMapGroupsInPandas") : plan.index("BroadcastHashJoin")]
+    assert "Exchange" not in above and "SortMergeJoin" not in above
