@@ -7,6 +7,7 @@ import pytest
 
 from tests.oracle import assert_same
 from tilewright.plans import registry
+from tilewright.sources import fixtures as fx
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +38,19 @@ def test_vectors_are_not_written_for_each_tile(name, spark, sf):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     above = plan[plan.index("FlatMapGroupsInPandas") : plan.index("BroadcastHashJoin")]
     assert "Exchange" not in above and "SortMergeJoin" not in above
+
+
+def test_tiles_that_share_an_id_are_read_by_part(spark, late):
+    """accept_until_k by its definition, with an order that is whole."""
+    pool, want = {}, []
+    for r in fx.candidates(spark, late[0]).collect():
+        pool.setdefault(r["slide_id"], []).append((r["candidate_id"], r["part"], r["tissue_ratio"] >= 0.7))
+    for slide, rows in pool.items():
+        n = {True: 0, False: 0}
+        for name, _, ok in sorted(rows):
+            if n[True] == 16:
+                break
+            want.append((slide, name, ok, n[ok]))
+            n[ok] += 1
+    got = [tuple(r) for r in registry.QUERIES["accept_until_k"](spark, late[0]).select("slide_id", "candidate_id", "accepted", "number").collect()]
+    assert sorted(got) == sorted(want)
