@@ -1,11 +1,13 @@
 """Queries on tables that are larger than their files look, or have longer numbers, than those of the other tests."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
 from tests.oracle import assert_same
+from tilewright.operators import embed
 from tilewright.plans import registry
 from tilewright.sources import fixtures as fx
 
@@ -40,6 +42,18 @@ def test_vectors_are_not_written_for_each_tile(name, spark, sf):
     assert "Exchange" not in above and "SortMergeJoin" not in above
 
 
+@pytest.mark.parametrize("name", ["embed_quota", "gated_embed"])
+def test_tiles_are_grouped_where_their_slide_is(name, spark, sf):
+    """Rows are dealt out by slide while they are narrow, and slides' extents come without the tiles."""
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "l_partkey" in plan and not re.search(r"hashpartitioning\([^)]*l_partkey", plan)
+
+
+def test_lengths_are_not_worked_out_for_each_component(spark, sf):
+    plan = embed.centroids(embed.with_unit_vectors(fx.embeddings(spark, sf)))._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and "size(transform" not in plan
+
+
 def test_tiles_that_share_an_id_are_read_by_part(spark, late):
     """accept_until_k by its definition, with an order that is whole."""
     pool, want = {}, []
