@@ -4,12 +4,15 @@ import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from tests.oracle import assert_same
+from tilewright.functions import raster
 from tilewright.operators import embed
 from tilewright.plans import registry
 from tilewright.sources import fixtures as fx
+from tilewright.sources import slides as scan
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +71,20 @@ def test_tiles_that_share_an_id_are_read_by_part(spark, late):
             n[ok] += 1
     got = [tuple(r) for r in registry.QUERIES["accept_until_k"](spark, late[0]).select("slide_id", "candidate_id", "accepted", "number").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_small_tiles_are_measured_together(monkeypatch):
+    """Stacks of tiles have the features that each has alone; only large and thin ones are measured alone."""
+    rng, reader, alone = np.random.default_rng(5), scan.PatternSlides(), []
+    tiles = [scan.read_padded(reader, i, int(rng.integers(9000)), int(rng.integers(7000)), 16, 16) for i in range(300)]
+    for h, w in ((8, 8), (2, 2), (17, 23), (64, 64), (1, 5), (80, 72)):
+        tiles += [np.full((h, w, 3), v, np.uint8) for v in (0, 128, 255)] + [rng.integers(0, 256, (h, w, 3)).astype(np.uint8) for _ in range(8)]
+        tiles += [np.where(rng.random((h, w, 1)) < 0.5, 255, rng.integers(0, 256, (h, w, 3))).astype(np.uint8) for _ in range(8)]
+    want = [raster.base_features(t) | raster.raster_features(t) for t in map(raster.Tile, tiles)]
+    real = raster.Tile
+    monkeypatch.setattr(raster, "Tile", lambda x: alone.append(x.shape) or real(x))
+    got = raster.features_of(tiles)
+    assert set(alone) == {(1, 5, 3), (80, 72, 3)} and list(got) == raster.ALL_FEATURES
+    for f in raster.ALL_FEATURES:
+        assert np.abs(got[f] - [r[f] for r in want]).max() < 1e-9, f
+    assert all(len(x) == 0 for x in raster.features_of([]).values())
