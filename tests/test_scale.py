@@ -10,7 +10,7 @@ import pytest
 from tests.oracle import assert_same
 from tilewright.functions import raster
 from tilewright.operators import embed
-from tilewright.plans import registry
+from tilewright.plans import registry, selection
 from tilewright.sources import fixtures as fx
 from tilewright.sources import slides as scan
 
@@ -52,6 +52,11 @@ def test_tiles_are_grouped_where_their_slide_is(name, spark, sf):
     assert "l_partkey" in plan and not re.search(r"hashpartitioning\([^)]*l_partkey", plan)
 
 
+def test_scored_tiles_are_dealt_out_once(spark, sf):
+    plan = selection.scored(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not re.search(r"hashpartitioning\([^)]*l_partkey", plan)
+
+
 def test_lengths_are_not_worked_out_for_each_component(spark, sf):
     plan = embed.centroids(embed.with_unit_vectors(fx.embeddings(spark, sf)))._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" in plan and "size(transform" not in plan
