@@ -10,7 +10,7 @@ import pytest
 from tests.oracle import assert_same
 from tilewright.functions import raster
 from tilewright.operators import embed
-from tilewright.plans import registry, selection
+from tilewright.plans import registry, scans, selection
 from tilewright.sources import fixtures as fx
 from tilewright.sources import slides as scan
 
@@ -93,3 +93,11 @@ def test_small_tiles_are_measured_together(monkeypatch):
     for f in raster.ALL_FEATURES:
         assert np.abs(got[f] - [r[f] for r in want]).max() < 1e-9, f
     assert all(len(x) == 0 for x in raster.features_of([]).values())
+
+
+def test_bytes_are_summed_in_batches(spark, sf):
+    cells = [b"", b"\x00\xff", None, b"", bytes(range(256)) * 50, b"\x07", None, b""]
+    got = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in enumerate(cells)], "i int, rgb binary").coalesce(1).select("i", scans._total("rgb")).collect()
+    assert dict(map(tuple, got)) == {i: None if c is None else sum(c) for i, c in enumerate(cells)}
+    for name in ("region_context", "region_clamped"):
+        assert "conv(" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
