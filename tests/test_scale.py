@@ -79,6 +79,17 @@ def test_tiles_that_share_an_id_are_read_by_part(spark, late):
     assert sorted(got) == sorted(want)
 
 
+def test_rows_that_ties_leave_alone_equal_the_sql(spark, late):
+    """accept_until_k: only rejected tiles that share the id of the 16th accepted one are there or not by an order that the SQL leaves open."""
+    sure = "not exists (select 1 from {0} c where c.slide_id = x.slide_id and c.candidate_id = x.candidate_id and c.accepted and c.number = 15 and not x.accepted)"
+    registry.QUERIES["accept_until_k"](spark, late[0]).createOrReplaceTempView("auk")
+    got = spark.sql(f"select x.* from auk x where {sure.format('auk')}")
+    # the SQL once, since its runs differ
+    late[1].execute(f"create or replace table auk as {registry.ORACLES['accept_until_k']}")
+    assert_same(got, late[1], f"select x.* from auk x where {sure.format('auk')}")
+    assert 0 < got.count() <= spark.table("auk").count()
+
+
 def test_small_tiles_are_measured_together(monkeypatch):
     """Stacks of tiles have the features that each has alone; only large and thin ones are measured alone."""
     rng, reader, alone = np.random.default_rng(5), scan.PatternSlides(), []
